@@ -69,8 +69,9 @@ def recipes(docs: DataFrame, hashed=chunk_hash) -> DataFrame:
 def exact_groups(docs: DataFrame, hashed=chunk_hash) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = recipes(docs, hashed).withColumn("_key", F.xxhash64("recipe"))
-    groups = rows.groupBy("_key", "recipe").agg(F.max(F.struct("doc_id", "_row")).alias("_kept"), F.count(F.lit(1)).alias("group_size"))
-    # A group may hold a third of all rows: the plain join lets adaptive execution split its partition.
+    # A group may hold a third of all rows. Its aggregate is written, so that the join has exchanges of its own, whose
+    # large partitions adaptive execution can split.
+    groups = written(rows.groupBy("_key", "recipe").agg(F.max(F.struct("doc_id", "_row")).alias("_kept"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return rows.join(groups, ["_key", "recipe"]).select(
         "doc_id", F.col("_kept.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_kept._row")).alias("kept"), "text_sha256"
     )
