@@ -10,11 +10,11 @@ Frequency: all tokens are counted in CELLS cells (a fixed size, summed on the ex
 power of two by which its cell stands above the mean. The order needs no exact counts to give right results; they
 keep passages that many documents share out of the prefixes.
 
-Skew: documents with equal sets are one class and enter once. The candidates are taken in two rounds. In the first
-each class is compared with one class only, the least of those it meets under the most shared tokens, so a group
-of near copies costs as many comparisons as it has members, not its square. In the second, all pairs that share a
-prefix token and are not yet in one component are compared; since links inside a component add nothing to it,
-no component is missed. Tokens are aggregated before they are shuffled and joins with hot keys can be split.
+Skew: documents with equal sets are one class and enter once. The candidates are taken in three rounds. In the first
+two each class is compared with the hubs it meets only (each token has one hub, the most central set that holds
+it), so a group of near copies costs about as many comparisons as it has members, not its square. In the third, all
+pairs that share a prefix token at places that leave room for the overlap they need, and that are not yet in one
+component, are compared; since links inside a component add nothing to it, no component is missed. Tokens are aggregated before they are shuffled; joins with hot keys can be split.
 
 Defined results: A-Z is lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one shingle;
 a text without words has no shingles and is linked with nothing; a null doc_id is no member's name, but its text
@@ -80,18 +80,16 @@ def shingle_sets(texts: list[bytes]) -> list:
 
 
 def prefix(tokens, order: int, classes):
-    """The first tokens under an order; ``classes`` has the frequency class of each cell."""
+    """The first tokens under an order, in that order; ``classes`` has the frequency class of each cell."""
     import numpy as np
 
     n = len(tokens)
     most = n - -(-n * NUMERATOR // DENOMINATOR) + 1
-    if most >= n:
-        return tokens
     level = classes[(tokens & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
     with np.errstate(over="ignore"):
         mixed = tokens * np.uint64(order)
         place = (level << np.uint64(58)) | ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(MIX) >> np.uint64(6))
-    return tokens[np.argpartition(place, most - 1)[:most]]
+    return tokens[np.argsort(place, kind="stable")[:most]]
 
 
 def linked(a, b, classes) -> bool:
@@ -153,7 +151,7 @@ def token_classes(docs: DataFrame):
 
 
 def prefix_keys(docs: DataFrame, classes) -> DataFrame:
-    """key, cls, n: the indexed prefix tokens of each set, once for each task that meets the set."""
+    """key, cls, n, place: the indexed prefix tokens of each set and their places, once for each task that meets the set."""
 
     def emit(batches):
         import numpy as np
@@ -178,10 +176,10 @@ def prefix_keys(docs: DataFrame, classes) -> DataFrame:
                     sizes.append(len(s))
                 if keys:
                     each = [len(k) for k in keys]
-                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "n"])
+                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in each]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "n", "place"])
 
-    return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, "key long, cls long, n int")
+    return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, "key long, cls long, n int, place int")
 
 
 def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, classes) -> DataFrame:
@@ -227,24 +225,43 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = spark.sparkContext.broadcast(token_classes(docs))  # CELLS bytes
     keys = written(prefix_keys(docs, classes), "jaccard-keys")
     met = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
-    members = written(keys.join(met.select("key", "least"), "key").select("key", "cls", "n", "least"), "jaccard-members")
-
-    votes = members.where("cls != least").groupBy("cls", "least").agg(F.countDistinct("key").alias("votes"))
-    first = written(votes.groupBy("cls").agg(F.max(F.struct("votes", "least"))["least"].alias("b")).select(F.col("cls").alias("a"), "b"), "jaccard-first")
-    links = written(compared(first, reps, docs, classes), "jaccard-links")
-    of = written(components(links), "jaccard-components")
-
-    placed = members.select("key", "cls", "n").distinct().join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = written(placed, "jaccard-placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = placed.join(open_keys, "key")
-    a, b = (left.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    near = (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR) & (F.col("n_b") * DENOMINATOR >= F.col("n_a") * NUMERATOR)
-    second = a.join(b, "key").where((F.col("c_a") < F.col("c_b")) & near).select("a", "b").distinct()
-    known = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = written(compared(written(second.join(known, ["a", "b"], "left_anti"), "jaccard-second"), reps, docs, classes), "jaccard-more")
-    if not more.isEmpty():
-        of = written(components(links.unionByName(more)), "jaccard-components")
+    members = written(keys.join(met.select("key"), "key").select("key", "cls", "n", "place").distinct(), "jaccard-members")
+
+    # The more of a set's prefix others hold too, the more central it is: the original among its altered copies.
+    most = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    central = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).select("cls", (-F.round(F.col("held") * 1000 / most)).cast("int").alias("outer"))
+    hubs = members.join(central, "cls").groupBy("key").agg(F.min(F.struct("outer", "cls"))["cls"].alias("hub"))
+    votes = written(members.join(hubs, "key").where("cls != hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("votes")), "jaccard-votes")
+
+    # First each class with the hub it meets most, then with its other hubs, then with all it meets, each time only
+    # across components.
+    first = votes.groupBy("cls").agg(F.max(F.struct("votes", "hub"))["hub"].alias("b")).select(F.col("cls").alias("a"), "b")
+    known = written(first, "jaccard-first")
+    links = written(compared(known, reps, docs, classes), "jaccard-links")
+    of = components(links)
+    for step in ("hubs", "all"):
+        of = written(of, "jaccard-components")
+        label = of.select(F.col("node").alias("cls"), "component")
+        if step == "hubs":
+            sides = [votes.select(F.col("cls").alias("a"), F.col("hub").alias("b"))]
+            for x in "ab":
+                sides.append(sides[-1].join(label.select(F.col("cls").alias(x), F.col("component").alias(f"c_{x}")), x, "left"))
+            pairs = sides[-1].where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+        else:
+            placed = written(members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "jaccard-placed")
+            open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+            left = written(placed.join(open_keys, "key"), "jaccard-open")
+            a, b = (left.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("place")).alias(f"rest_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+            # The first token that two sets share has no more shared tokens after it than the shorter rest holds.
+            enough = F.least("rest_a", "rest_b") * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
+            pairs = a.join(b, "key").where((F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
+        either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = written(pairs.join(either, ["a", "b"], "left_anti"), f"jaccard-{step}")
+        more = written(compared(pairs, reps, docs, classes), f"jaccard-links-{step}")
+        known = known.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            of = components(links)
 
     grouped = reps.join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
