@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import written
+from gridloom.llm._common import forget, written
 
 
 def _star(links: DataFrame, large: bool, name: str) -> DataFrame:
@@ -22,7 +22,9 @@ def _star(links: DataFrame, large: bool, name: str) -> DataFrame:
     out = both.join(least, "u").where(F.col("v") > F.col("u") if large else F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
     if not large:
         out = out.unionByName(least.select("u", F.col("least").alias("v")))
-    return written(out.where("u != v").distinct(), name)
+    out = written(out.where("u != v").distinct(), name)
+    forget(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,6 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
     before, after = None, mark(now)
     while after[0] and before != after:
-        now = _star(_star(now, True, "large-star"), False, "small-star")
+        middle = _star(now, True, "large-star")
+        old, now = now, _star(middle, False, "small-star")
+        forget(old, middle)
         before, after = after, mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

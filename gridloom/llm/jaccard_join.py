@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import table, written
+from gridloom.llm._common import forget, table, written
 from gridloom.llm._counts import summed_cells
 from gridloom.llm.components import components
 
@@ -182,16 +182,18 @@ def prefix_keys(docs: DataFrame, classes) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, "key long, cls long, n int, place int")
 
 
-def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, classes) -> DataFrame:
-    """Those of ``pairs`` (a, b: classes) that reach the threshold; ``reps`` names a document (rid) of each class."""
+def candidate_texts(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """cls and text of the classes that share an indexed token with another; the documents' texts move once, here."""
     rid = F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = docs.select(rid.alias("rid"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    named = pairs.join(reps.select(F.col("cls").alias("a"), F.col("rid").alias("rid_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rid").alias("rid_b")), "b")
-    # The texts of the classes that stand in a pair, each once; then one text is sent for each pair.
-    wanted = named.select(F.col("rid_a").alias("rid")).unionByName(named.select(F.col("rid_b").alias("rid"))).distinct()
-    texts = written(texts.join(wanted, "rid", "left_semi"), "compared-texts")
-    with_a = named.join(texts.select(F.col("rid").alias("rid_a"), F.col("text").alias("text_a")), "rid_a")
-    with_b = with_a.join(texts.select(F.col("rid").alias("rid_b"), F.col("text").alias("text_b")), "rid_b")
+    wanted = reps.join(members.select("cls").distinct(), "cls").select("rid", "cls")
+    return written(texts.join(wanted, "rid").select("cls", "text"), "jaccard-texts")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, classes) -> DataFrame:
+    """Those of ``pairs`` (a, b: classes) that reach the threshold. A hub's text may be wanted by most rows; its join can be split."""
+    with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
 
     def compare(batches):
         import pyarrow as pa
@@ -225,7 +227,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = spark.sparkContext.broadcast(token_classes(docs))  # CELLS bytes
     keys = written(prefix_keys(docs, classes), "jaccard-keys")
     met = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
+    # Exact copies in several tasks sent their class more than once.
     members = written(keys.join(met.select("key"), "key").select("key", "cls", "n", "place").distinct(), "jaccard-members")
+    forget(keys)
+    texts = candidate_texts(docs, reps, members)
 
     # The more of a set's prefix others hold too, the more central it is: the original among its altered copies.
     most = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
@@ -237,7 +242,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # across components.
     first = votes.groupBy("cls").agg(F.max(F.struct("votes", "hub"))["hub"].alias("b")).select(F.col("cls").alias("a"), "b")
     known = written(first, "jaccard-first")
-    links = written(compared(known, reps, docs, classes), "jaccard-links")
+    links = written(compared(known, texts, classes), "jaccard-links")
     of = components(links)
     for step in ("hubs", "all"):
         of = written(of, "jaccard-components")
@@ -257,7 +262,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             pairs = a.join(b, "key").where((F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
         either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = written(pairs.join(either, ["a", "b"], "left_anti"), f"jaccard-{step}")
-        more = written(compared(pairs, reps, docs, classes), f"jaccard-links-{step}")
+        more = written(compared(pairs, texts, classes), f"jaccard-links-{step}")
         known = known.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
