@@ -235,8 +235,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # The more of a set's prefix others hold too, the more central it is: the original among its altered copies.
     most = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
     central = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).select("cls", (-F.round(F.col("held") * 1000 / most)).cast("int").alias("outer"))
-    hubs = members.join(central, "cls").groupBy("key").agg(F.min(F.struct("outer", "cls"))["cls"].alias("hub"))
-    votes = written(members.join(hubs, "key").where("cls != hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("votes")), "jaccard-votes")
+    hubs = members.join(central, "cls").groupBy("key").agg(F.min(F.struct("outer", "cls", "n", "place")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_b"), (F.col("hub.n") - F.col("hub.place")).alias("rest_b"))
+    # The first token that two sets share has no more shared tokens after it than the shorter rest holds, and that
+    # must do for the overlap they need.
+    enough = F.least("rest_a", "rest_b") * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
+    met_hubs = members.select("key", "cls", F.col("n").alias("n_a"), (F.col("n") - F.col("place")).alias("rest_a")).join(hubs, "key")
+    votes = written(met_hubs.where((F.col("cls") != F.col("hub")) & enough).groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("votes")), "jaccard-votes")
 
     # First each class with the hub it meets most, then with its other hubs, then with all it meets, each time only
     # across components.
@@ -257,8 +261,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             left = written(placed.join(open_keys, "key"), "jaccard-open")
             a, b = (left.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("place")).alias(f"rest_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-            # The first token that two sets share has no more shared tokens after it than the shorter rest holds.
-            enough = F.least("rest_a", "rest_b") * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
             pairs = a.join(b, "key").where((F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
         either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = written(pairs.join(either, ["a", "b"], "left_anti"), f"jaccard-{step}")
