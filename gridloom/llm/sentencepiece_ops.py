@@ -32,6 +32,8 @@ from gridloom.llm._common import table
 MARK = "▁"
 #: Pairs of pieces of which a worker remembers whether they stay apart; beyond that it starts anew.
 MEMO_PAIRS = 1_000_000
+#: Bytes of text that a worker encodes and decodes at a time.
+DIGEST_BYTES = 2 << 20
 #: Stands for the last piece where there is none yet.
 START = (1 << 24) - 1
 UNIGRAM, BPE = 1, 2
@@ -297,24 +299,32 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids", text: str
 
 
 def encoded_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of little-endian int32), n_chars and whether decoding gives the text back."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = encode(rows.withColumn("crc", F.crc32(F.translate("text", MARK, " ").cast("binary"))), model).drop("text")
+    """doc_id, n_ids, ids_crc32 (of little-endian int32), n_decoded (characters) and whether decoding gives the text back.
+
+    One Python worker for each task encodes and decodes, so neither ids nor decoded texts go back to the JVM.
+    """
+    path = model or vocabulary()
 
     def digest(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            lists = batch.column("ids")
-            flat, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            sums = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(ends), pa.int64()), pa.array(sums, pa.int64())], names=[*batch.schema.names, "n_ids", "ids_crc32"])
+        from gridloom.llm._words import text_slices
 
-    summed = decode(known, model).mapInArrow(digest, "doc_id long, crc long, ids array<int>, decoded string, n_ids long, ids_crc32 long")
-    return summed.select(
-        "doc_id", "n_ids", "ids_crc32", F.char_length("decoded").cast("long").alias("n_decoded"), (F.crc32(F.col("decoded").cast("binary")) == F.col("crc")).alias("round_trip")
-    )
+        pieces, mark = _model(path), MARK.encode()
+        for whole in batches:
+            for batch in text_slices(whole, 1, DIGEST_BYTES):
+                texts = batch.column(1).cast("binary").to_pylist()
+                flat, ends = pieces.encode(texts)
+                decoded = pieces.decode(flat, ends)
+                little = flat.astype("<i4")
+                sums = [zlib.crc32(little[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                same = [d.encode() == t.replace(mark, b" ") for d, t in zip(decoded, texts, strict=True)]
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": batch.column(0), "n_ids": pa.array(np.diff(ends), pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "n_decoded": pa.array(map(len, decoded), pa.int64()), "round_trip": pa.array(same, pa.bool_())}
+                )
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, n_decoded long, round_trip boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
