@@ -7,8 +7,9 @@ in the index of the first order must also share a prefix token under each other
 these filters are compared in full.
 
 Frequency: all tokens are counted in CELLS cells (a fixed size, summed on the executors); a token's class is the
-power of two by which its cell stands above the mean. The order needs no exact counts to give right results; they
-keep passages that many documents share out of the prefixes.
+power of two of its cell's count, so rare tokens come first. The order needs no exact counts to give right results;
+they keep passages that several documents share out of the prefixes, and let a copy with many tokens of its own meet
+nothing.
 
 Skew: documents with equal sets are one class and enter once. The candidates are taken in three rounds. In the first
 two each class is compared with the hubs it meets only (each token has one hub, the most central set that holds
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import forget, table, written
-from gridloom.llm._counts import summed_cells
+from gridloom.llm._counts import cell_levels
 from gridloom.llm.components import components
 
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity 0.8
-WORDS, CELLS = 5, 1 << 20
+WORDS, CELLS = 5, 1 << 24
 #: Keys of the orders; the first one's prefixes are indexed.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 POLY, MIX = 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9
@@ -136,18 +137,13 @@ def token_classes(docs: DataFrame):
     """The frequency class of each cell, over all documents."""
     import numpy as np
 
-    def count(batch):
+    def places(batch):
         from gridloom.llm._words import text_slices
 
-        total = np.zeros(CELLS, np.int64)
         for piece in text_slices(batch):
-            sets = shingle_sets(piece.column(0).to_pylist())
-            total += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        return total
+            yield (np.concatenate(shingle_sets(piece.column(0).to_pylist())) & np.uint64(CELLS - 1)).astype(np.int64)
 
-    counts = summed_cells(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), CELLS, count)
-    mean = max(1.0, counts.sum() / CELLS)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 31).astype(np.uint8)
+    return cell_levels(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), CELLS, places)
 
 
 def prefix_keys(docs: DataFrame, classes) -> DataFrame:
