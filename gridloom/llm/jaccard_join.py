@@ -38,6 +38,8 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 POLY, MIX = 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9
 #: Classes a task remembers so as not to send their prefix twice; beyond that it starts anew.
 SEEN = 1_000_000
+#: Cells of the sieve that keeps texts nobody asks for out of a shuffle: the most rows it broadcasts.
+SIEVE = 1 << 20
 
 
 def shingle_sets(texts: list[bytes]) -> list:
@@ -178,18 +180,24 @@ def prefix_keys(docs: DataFrame, classes) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, "key long, cls long, n int, place int")
 
 
+def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``; by hash cells, so a join with ``wanted`` must follow."""
+    cell = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    return rows.join(F.broadcast(wanted.select(cell.alias("_cell")).distinct()), cell == F.col("_cell"), "left_semi")
+
+
 def candidate_texts(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
     """cls and text of the classes that share an indexed token with another; the documents' texts move once, here."""
     rid = F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = docs.select(rid.alias("rid"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    wanted = reps.join(members.select("cls").distinct(), "cls").select("rid", "cls")
-    return written(texts.join(wanted, "rid").select("cls", "text"), "jaccard-texts")
+    wanted = written(reps.join(members.select("cls").distinct(), "cls").select("rid", "cls"), "jaccard-wanted")
+    return written(sieved(texts, "rid", wanted).join(wanted, "rid").select("cls", "text"), "jaccard-texts")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, classes) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that reach the threshold. A hub's text may be wanted by most rows; its join can be split."""
-    with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+    of_a, of_b = (sieved(texts.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}")), x, pairs) for x in "ab")
+    with_b = pairs.join(of_a, "a").join(of_b, "b")
 
     def compare(batches):
         import pyarrow as pa
