@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(batch, column: int = 0, most: int = SLICE_BYTES) -> Iterator:
@@ -90,7 +90,7 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordTable:
     """Token ids of words by hash, in flat arrays. Beyond ``most`` words it starts anew, which costs time only."""
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.clear()
 

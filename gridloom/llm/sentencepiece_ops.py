@@ -32,8 +32,6 @@ from gridloom.llm._common import table
 MARK = "▁"
 #: Pairs of pieces of which a worker remembers whether they stay apart; beyond that it starts anew.
 MEMO_PAIRS = 1_000_000
-#: Bytes of text that a worker encodes and decodes at a time.
-DIGEST_BYTES = 2 << 20
 #: Stands for the last piece where there is none yet.
 START = (1 << 24) - 1
 UNIGRAM, BPE = 1, 2
@@ -313,7 +311,7 @@ def encoded_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
         pieces, mark = _model(path), MARK.encode()
         for whole in batches:
-            for batch in text_slices(whole, 1, DIGEST_BYTES):
+            for batch in text_slices(whole, 1):
                 texts = batch.column(1).cast("binary").to_pylist()
                 flat, ends = pieces.encode(texts)
                 decoded = pieces.decode(flat, ends)
