@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import forget, table, written
+from gridloom.llm._common import WORD, forget, table, written
 from gridloom.llm._counts import cell_levels
 from gridloom.llm.components import components
 
@@ -109,9 +109,9 @@ def linked(a, b, classes) -> bool:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_shingles, cls and check: a document's name in joins, its set's size and 128-bit hash."""
+    """rid, doc_id, text_hash, n_shingles, cls and check: a document's name in joins, its text's hash, its set's size and 128-bit hash."""
     rid = F.coalesce("doc_id", F.xxhash64("text"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(rid.alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(rid.alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
     def describe(batches):
         import pyarrow as pa
@@ -120,13 +120,13 @@ def described(docs: DataFrame) -> DataFrame:
         from gridloom.llm._words import text_slices
 
         for batch in batches:
-            for piece in text_slices(batch, 2):
-                sets = shingle_sets(piece.column(2).to_pylist())
+            for piece in text_slices(batch, 3):
+                sets = shingle_sets(piece.column(3).to_pylist())
                 marks = [class_of(s, xxhash) for s in sets]
-                columns = [piece.column(0), piece.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[c] for m in marks], pa.int64()) for c in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "n_shingles", "cls", "check"])
+                columns = [*(piece.column(c) for c in range(3)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[c] for m in marks], pa.int64()) for c in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "text_hash", "n_shingles", "cls", "check"])
 
-    return rows.mapInArrow(describe, "rid long, doc_id long, n_shingles long, cls long, check long")
+    return rows.mapInArrow(describe, "rid long, doc_id long, text_hash long, n_shingles long, cls long, check long")
 
 
 def class_of(tokens, xxhash) -> tuple[int, int]:
@@ -221,7 +221,7 @@ def compared(pairs: DataFrame, texts: DataFrame, classes) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, cls, component and text_hash for each row of ``docs``; component is null for a text without words."""
     spark = docs.sparkSession
     info = written(described(docs), "jaccard-info")
     # A class's document is its least; rows of one class whose other hash differs would share a class by accident.
@@ -276,15 +276,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     grouped = reps.join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = written(grouped.join(ids, "component").select("cls", "component_id"), "jaccard-ids")
-    return info.join(named, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    named = written(grouped.join(ids, "component").select("cls", "component_id", "component"), "jaccard-ids")
+    return info.join(named, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"), "text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose near copy with a smaller doc_id stays; all columns."""
-    found = jaccard_components(docs)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    """One row of ``docs`` for each component, the first by doc_id (nulls last) and text hash, and all rows without words; all columns."""
+    found = written(jaccard_components(docs).where("component is not null").select("component", "doc_id", "text_hash"), "jaccard-found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = written(first.where("rows > 1").select("component", "first.doc_id", "first.text_hash"), "jaccard-stay")
+    # A component may hold a third of all rows; its first row is written, so that large partitions of the join can be split.
+    both = found.join(first.select("component", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    gone = both.where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (text_hash == gone["_hash"]), "left_anti")
+    if both.where(stays).groupBy("component").count().where("count > 1").isEmpty():
+        return left
+    # Rows that repeat doc_id and text: one of them stays, but of those without words all do.
+    apart = F.when(~F.coalesce("text", F.lit("")).rlike(WORD), F.monotonically_increasing_id())
+    return left.withColumn("_text_hash", text_hash).withColumn("_apart", apart).dropDuplicates(["doc_id", "_text_hash", "_apart"]).drop("_text_hash", "_apart")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,25 @@ def test_jaccard_join(spark, docs, none):
     assert jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "rows, kept",
+    [
+        # Null ids: near copies of a named document, and a group of null ids only.
+        ([(1, BASE), (None, BASE + " y"), (None, BASE + " z"), (None, "k " * 9 + "a b c d e f g"), (None, "k " * 9 + "a b c d e f g h")], [1, None]),
+        # One id with two texts, one a near copy of a smaller id's; the clean one stays.
+        ([(1, BASE), (2, BASE + " y"), (2, "all other words stand in this text")], [1, 2]),
+        # Near-equal texts that share the least id, and rows that are equal in both.
+        ([(1, BASE), (1, BASE + " y"), (1, BASE + " z"), (3, BASE), (4, "one more text"), (4, "one more text"), (5, ""), (5, "")], [1, 4, 5, 5]),
+    ],
+)
+def test_jaccard_keeps_one_row_of_each_component(spark, rows, kept):
+    from gridloom.llm.jaccard_join import keep_one
+
+    found = keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hash", F.lit(1))).select("doc_id", "text").collect()
+    assert sorted((r.doc_id for r in found), key=repr) == sorted(kept, key=repr)
+    assert (2, "all other words stand in this text") not in rows or ("all other words stand in this text" in {r.text for r in found})
+
+
 def test_components(spark):
     from gridloom.llm.components import components
 
