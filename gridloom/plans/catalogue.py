@@ -443,5 +443,5 @@ def sensor_log(spark, sf_dir):
 def sensor_rows(spark, sf_dir) -> DataFrame:
     db = database(spark, ArraySchema([("unused", 1)], ["unused_value"]))
     log = SensorLog(spark, db.path + "-log")
-    log.load_lines(event_lines(spark, sf_dir).select("line"))
+    log.load_lines(event_lines(spark, sf_dir), seq="event_id")
     return log.rows()

@@ -30,15 +30,17 @@ class SensorLog:
         return dictionary.from_json(self.spark, self.db.store.read_text(self.db.commits[last]["dictionary"]), KEYS)
 
     def load_lines(self, lines: DataFrame, seq: str | None = None) -> DataFrame:
-        """Parse, encode, append and commit; the rejected lines."""
-        parsed = parse(lines)
+        """Parse, encode, append and commit; the rejected lines. Of one time and sensor the line with the largest
+        ``seq`` wins, without it the last line; the order is taken before any join."""
+        order = F.monotonically_increasing_id() if seq is None else F.col(seq).cast("long")
+        parsed = parse(lines.select("line", order.alias("_line")), "_line")
         rows, known = good(parsed), self.sensors()
         had = known.count()
         now = dictionary.extend(known, rows, KEYS).cache()
         entries = now.count()
-        coded = dictionary.encode(rows, now, KEYS, "sensor_id", entries).select(F.col("time_ms").alias("time"), "sensor_id", F.col("value_milli").alias("value"))
+        coded = dictionary.encode(rows, now, KEYS, "sensor_id", entries).select(F.col("time_ms").alias("time"), "sensor_id", F.col("value_milli").alias("value"), "_line")
         with self.db.transaction() as txn:
-            txn.append(coded)
+            txn.append(coded, seq="_line")
             txn.flush()
             if txn.txn is not None and entries > had:
                 name = f"sensors-{txn.txn:08x}.json"

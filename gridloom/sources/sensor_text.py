@@ -21,16 +21,16 @@ def read_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
     return lines.select(F.regexp_replace("value", "^\\x00+", "").alias("line"))
 
 
-def split_fields(lines: DataFrame) -> DataFrame:
-    """The line with its five fields, or nulls."""
+def split_fields(lines: DataFrame, *others: str) -> DataFrame:
+    """The line with its five fields, or nulls, and ``others`` of the columns."""
     parts = F.split("line", "\t", -1)
     fits = F.size(parts) == len(FIELDS)
-    return lines.select("line", *(F.when(fits, parts[i]).alias(f) for i, f in enumerate(FIELDS)))
+    return lines.select("line", *(F.when(fits, parts[i]).alias(f) for i, f in enumerate(FIELDS)), *others)
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """line, time_ms, component, sensor, kind, value_milli, ok. Blank lines and others that don't fit are not ok."""
-    parsed = split_fields(lines).select("line", time_millis(F.col("time")).alias("time_ms"), "component", "sensor", "kind", fixed_point(F.col("value")).alias("value_milli"))
+def parse(lines: DataFrame, *others: str) -> DataFrame:
+    """line, time_ms, component, sensor, kind, value_milli, ``others`` of the columns, ok. Blank lines and others that don't fit are not ok."""
+    parsed = split_fields(lines, *others).select("line", time_millis(F.col("time")).alias("time_ms"), "component", "sensor", "kind", fixed_point(F.col("value")).alias("value_milli"), *others)
     return parsed.withColumn("ok", F.col("time_ms").isNotNull() & (F.col("time_ms") >= 0) & F.col("value_milli").isNotNull())
 
 

@@ -54,6 +54,35 @@ def test_sensor_log(spark, tmp_path):
         log.load([f"file://{tmp_path}/none*"])
 
 
+@pytest.mark.parametrize("entries", [200_000, 0])
+def test_last_line_wins_however_the_dictionary_is_joined(spark, tmp_path, monkeypatch, entries):
+    from gridloom import dictionary
+
+    monkeypatch.setattr(dictionary, "BROADCAST_ENTRIES", entries)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [(i, -i, f"01/01/2020 01:00:00 a.m.\tc{i % 50}\ts\tk\t{i}") for i in range(2000)]
+        df = spark.createDataFrame(lines, "i long, back long, line string").repartitionByRange(8, "i").sortWithinPartitions("i")
+        for seq, first in ((None, 1950), ("i", 1950), ("back", 0)):
+            log = SensorLog(spark, f"file://{tmp_path}/{seq}")
+            log.load_lines(df, seq)
+            names = {r.id: int(r.component[1:]) for r in log.sensors().collect()}
+            assert {names[r.sensor_id]: r.value for r in log.rows().collect()} == {c: (first + c) * 1000 for c in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sensor_rows_hold_the_last_event(spark):
+    from gridloom.plans.catalogue import event_lines, sensor_rows
+
+    data, last = "/root/testdata/sf0.001", {}
+    for r in sorted(parse(event_lines(spark, data), "event_id").collect(), key=lambda r: r.event_id):
+        last[r.time_ms, r.component, r.sensor] = r.value_milli
+    ids = {k: i for i, k in enumerate(sorted({k[1:] for k in last}), 1)}
+    assert {(r.time, r.sensor_id): r.value for r in sensor_rows(spark, data).collect()} == {(t, ids[c, s]): v for (t, c, s), v in last.items()}
+
+
 def test_stream_batches_count_once(spark, tmp_path):
     from gridloom.database import ArrayDatabase
     from gridloom.schema import ArraySchema
