@@ -174,17 +174,65 @@ def taken_words(mixture: Mixture) -> DataFrame:
     return (
         mixture.lines.alias("l")
         .join(taken.alias("t"), same, "left")
-        .select("l.sid", "l.doc_id", "l.text_hash", "l.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+        .select("l.sid", "l.doc_id", "l.text_hash", "l.start", "l.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
         .join(mixture.plan.select("sid", "source_size", "target"), "sid")
     )
 
 
+def taken_parts(mixture: Mixture) -> DataFrame:
+    """source, doc_id, text_hash, size, parts: the runs of words (from, to) that stand in the mixture for each document taken.
+
+    A document of at most BLOCK_WORDS words is taken as often as comes nearest; at most two documents of a source straddle
+    an edge of its last round, so this is off by a block's words at most. Of a longer one the words beyond its whole
+    copies are those that the slots of the last round cover. Rows that repeat source, doc_id and text share alike.
+    """
+    div = lambda x, y: F.call_function("div", x, y)
+    turns = div(F.col("quota"), F.col("blocks"))
+    # The last round's blocks follow each other from its first one, and on from the line's beginning.
+    first = F.pmod(turns * div(F.col("blocks"), F.lit(3).cast("long")), F.col("blocks"))
+    last = first + F.pmod("quota", F.col("blocks"))
+    edges = mixture.plan.where("blocks > 0").select(
+        "sid", "source", turns.alias("turns"), (first * F.col("block_words")).alias("low"), (F.least(last, F.col("blocks")) * F.col("block_words")).alias("high"),
+        (F.greatest(last - F.col("blocks"), F.lit(0)) * F.col("block_words")).alias("again"),
+    )
+    run = lambda low, high: F.struct(low.cast("long").alias("from"), high.cast("long").alias("to"))
+    inside = lambda low, high: run(F.greatest(low - F.col("start"), F.lit(0)), F.least(high - F.col("start"), F.col("size")))
+    whole = lambda n: F.array_repeat(run(F.lit(0), F.col("size")), n.cast("int"))
+    some = lambda runs: F.filter(runs, lambda r: r["from"] < r["to"])
+    rows = (
+        taken_words(mixture)
+        .where("size > 0")
+        .groupBy("sid", "doc_id", "text_hash", "size")
+        .agg(F.count(F.lit(1)).alias("rows"), (F.sum("taken") / F.sum("size")).alias("times"), F.min("start").alias("start"))
+        .join(F.broadcast(edges), "sid")
+    )
+    runs = F.concat(whole(F.col("turns")), some(F.array(inside(F.lit(0), F.col("again")), inside(F.col("low"), F.col("high")))))
+    shared = F.concat(whole(F.floor("times")), some(F.array(run(F.lit(0), F.round((F.col("times") - F.floor("times")) * F.col("size"))))))
+    parts = F.when(F.col("size") <= BLOCK_WORDS, whole(F.round("times"))).when(F.col("rows") > 1, shared).otherwise(runs)
+    return rows.select("source", "doc_id", "text_hash", "size", parts.alias("parts")).where(F.size("parts") > 0)
+
+
+def cut_words(text: Column, low: Column, high: Column) -> Column:
+    """The words of ``text`` from ``low`` to before ``high``, with what stands between them."""
+    gap = r"[\x20\x09-\x0D]"
+    each = F.regexp_extract_all(text, F.lit(f"{gap}*{WORD}"), F.lit(0))
+    return F.regexp_replace(F.array_join(F.slice(each, low.cast("int") + 1, (high - low).cast("int")), ""), f"^{gap}+", "")
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mixture, with all columns of ``docs``: each row as often as the mixture takes it, to the nearest whole."""
-    taken = taken_words(mix(docs)).where("size > 0").groupBy("doc_id", "text_hash").agg((F.sum("taken") / F.sum("size")).alias("_times"))
-    times = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.round("_times").cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The documents of the mixture, with all columns of ``docs``: a row for each whole copy and each part of a long
+    document that the mixture takes (see taken_parts). A part's row has its text and, if there is such a column, its n_chars."""
+    parts = written(taken_parts(mix(docs)).withColumnsRenamed({"source": "_source", "doc_id": "_id", "text_hash": "_hash"}), "mix-parts")
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    is_whole = lambda r: r["to"] - r["from"] == F.col("size")
+    times = parts.select("_source", "_id", "_hash", F.size(F.filter("parts", is_whole)).alias("_times")).where("_times > 0")
+    rows = docs.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # Few documents of a source are cut; these are written, so that Spark sees their size and does not shuffle all texts for them.
+    some = written(parts.select("_source", "_id", "_hash", F.explode(F.filter("parts", lambda r: ~is_whole(r))).alias("_part")), "mix-cuts")
+    cut = docs.join(some, same).withColumn("text", cut_words(F.col("text"), F.col("_part.from"), F.col("_part.to")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.unionByName(cut.select(*docs.columns))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

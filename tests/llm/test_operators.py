@@ -95,6 +95,25 @@ def test_mixing(docs, none):
     assert mixed_documents(docs).columns == docs.columns and taken_words(mix(none)).count() == 0
 
 
+def test_mixed_documents_meet_targets_with_one_long_document(spark):
+    from gridloom.llm.mixing import mix, mixed_documents, taken_words
+
+    text = lambda k, n: " \n".join(f"{k}{i}" for i in range(n))
+    # "a" (weight 5) takes its document 1.4 times or so, "b" (2) a part of it, "c" (1) has short and repeated long ones.
+    rows = [(1, text("a", 9000), "en", "a", 1), (2, text("b", 9000), "en", "b", 1), *((i, text(f"c{i}w", 40), "en", "c", 1) for i in range(10, 40)), *[(3, text("r", 2000), "en", "c", 1)] * 2]
+    docs = spark.createDataFrame(rows, DOC)
+    plan = {r.source: r for r in mix(docs).plan.collect()}
+    found, got = mixed_documents(docs).collect(), Counter()
+    for r in found:
+        got[r.source] += words(r.text)
+    assert all(abs(got[s] - p.target) <= 512 for s, p in plan.items()), (got, plan)
+    taken = {r.doc_id: r.taken for r in taken_words(mix(docs)).collect()}
+    for i, t in ((1, rows[0][1]), (2, rows[1][1])):
+        mine = [r for r in found if r.doc_id == i]
+        assert sum(words(r.text) for r in mine) == taken[i] and all(r.text in t and r.n_chars in (1, len(r.text)) for r in mine)
+        assert taken[i] % 9000
+
+
 def test_sentencepiece(docs, none):
     import sentencepiece
     from hypothesis import given, settings
