@@ -326,4 +326,5 @@ def encoded_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_digests(table(spark, sf_dir, "documents"))
+    """doc_id, ids, decoded for each document."""
+    return decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "ids", "decoded")

@@ -146,6 +146,18 @@ def test_sentencepiece(docs, none):
     assert sorted(found, key=order) == sorted(wanted, key=order) and encoded_digests(none).count() == 0
 
 
+def test_sentencepiece_query_returns_ids_and_texts(spark, tmp_path):
+    import sentencepiece
+
+    from gridloom.llm.sentencepiece_ops import op2_sentencepiece, vocabulary
+
+    spark.createDataFrame(ROWS, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary())
+    wanted = [(i, library.encode(t or ""), t or "") for i, t, *_ in ROWS]
+    found = [(r.doc_id, r.ids, r.decoded) for r in op2_sentencepiece(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+
+
 def test_unigram_model_equals_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
