@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataError
@@ -17,9 +18,15 @@ def empty(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.createDataFrame([], ", ".join(["id long", *(f"{k} string" for k in keys)]))
 
 
+def _same(keys: list[str]) -> Column:
+    """Keys are equal, nulls too."""
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+
+
 def extend(dictionary: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The dictionary with the new keys of ``rows``, numbered by sort order from the largest id + 1."""
-    new = rows.select(*keys).distinct().join(dictionary.select(*keys), keys, "left_anti")
+    new = rows.select(*keys).distinct()
+    new = new.join(dictionary.select(*(F.col(k).alias(f"_{k}") for k in keys)), _same(keys), "left_anti")
     most = dictionary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))
     numbered = new.crossJoin(F.broadcast(most)).select((F.col("_most") + F.row_number().over(Window.orderBy(*keys))).cast("long").alias("id"), *keys)
     return dictionary.select("id", *keys).unionByName(numbered)
@@ -27,8 +34,9 @@ def extend(dictionary: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
 
 def encode(rows: DataFrame, dictionary: DataFrame, keys: list[str], name: str = "id", entries: int | None = None) -> DataFrame:
     """``rows`` with the id in place of the keys. ``entries``: how many the dictionary has, if known."""
-    ids = dictionary.withColumnRenamed("id", name)
-    return rows.join(F.broadcast(ids) if entries is not None and entries <= BROADCAST_ENTRIES else ids, keys).drop(*keys)
+    ids = dictionary.select(F.col("id").alias(name), *(F.col(k).alias(f"_{k}") for k in keys))
+    joined = rows.join(F.broadcast(ids) if entries is not None and entries <= BROADCAST_ENTRIES else ids, _same(keys))
+    return joined.drop(*keys, *(f"_{k}" for k in keys))
 
 
 def to_json(dictionary: DataFrame) -> str:

@@ -83,6 +83,17 @@ def test_sensor_rows_hold_the_last_event(spark):
     assert {(r.time, r.sensor_id): r.value for r in sensor_rows(spark, data).collect()} == {(t, ids[c, s]): v for (t, c, s), v in last.items()}
 
 
+def test_null_keys_have_one_id_and_keep_their_rows(spark):
+    from gridloom import dictionary
+
+    rows = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "a", "b"), (4, "a", None)], "n long, x string, y string")
+    once = dictionary.extend(dictionary.empty(spark, ["x", "y"]), rows, ["x", "y"])
+    twice = dictionary.extend(once, rows, ["x", "y"])
+    assert twice.count() == once.count() == 3
+    found = {r.n: r.id for r in dictionary.encode(rows, twice, ["x", "y"]).collect()}
+    assert sorted(found) == [1, 2, 3, 4] and found[1] == found[4] and len(set(found.values())) == 3
+
+
 def test_stream_batches_count_once(spark, tmp_path):
     from gridloom.database import ArrayDatabase
     from gridloom.schema import ArraySchema
