@@ -4,8 +4,10 @@ Two generative models count hashed byte n-grams (n = 4 and 8): the raw model ove
 model over labelled good ones (a bounded sample, see LABELLED). A document's log importance is the mean log ratio of
 target to raw over its n-grams (with a few grams of ratio 0 added). A fifth of the labelled rows is kept out of the target model; the level that parts
 its good rows from its bad ones best (balanced accuracy) is the classifier's threshold. As many documents are
-drawn as stand above it, by Gumbel top-k: each document's key is its log weight against the threshold plus
-standard Gumbel noise from a hash of its id, and the k largest keys stay. All documents are scored and whole
+drawn as stand above it, by Gumbel top-k: each document's key is its log weight against the threshold (summed
+over its grams, in nats) divided by TEMPERATURE, plus standard Gumbel noise from a hash of its id, and the k largest
+keys stay. So sharpened the draw nearly equals the threshold cut: noise of a few units is some tenths of a nat at
+most, and only documents that near to the threshold can change sides. That is meant: clean documents stay. All documents are scored and whole
 texts are counted.
 
 Defined results: a null or empty text has the grams of its line ends only; without good labels, or without bad
