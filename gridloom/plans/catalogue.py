@@ -157,19 +157,37 @@ def _loaded(spark, sf_dir, *parts: str):
     return db, rows
 
 
+def _shares(spark, sf_dir, n: int, below: int | None = None) -> list[str]:
+    """Filters that part the events in ``n`` equal ranges of their ids (those less than ``below``)."""
+    end = (read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) + 1
+    end = end if below is None else min(end, below)
+    cuts = [end * i // n for i in range(1, n)]
+    low, high = [None, *cuts], [*cuts, below]
+    return [" and ".join([f"event_id >= {a}"] * (a is not None) + [f"event_id < {b}"] * (b is not None)) for a, b in zip(low, high, strict=True)]
+
+
+def _altered(rows: DataFrame) -> DataFrame:
+    """All events with another value: what must not be seen, whatever the table's size."""
+    return rows.withColumn("value_milli", F.lit(7).cast("long"))
+
+
 @query(stored_sql("event_id < 5000"))
 def snapshot_horizon(spark, sf_dir):
     """Transactions 1, 2 and 3 committed, read below horizon 3."""
-    db, _ = _loaded(spark, sf_dir, "event_id < 2500", "event_id >= 2500 and event_id < 5000", "event_id >= 5000")
+    db, rows = _loaded(spark, sf_dir, *_shares(spark, sf_dir, 2, 5000))
+    with db.transaction() as txn:
+        txn.append(_altered(rows), seq="event_id")
+        txn.commit()
     with db.transaction(horizon=3) as txn:
         return txn.query(ordered=False)
 
 
 @query(stored_sql())
 def read_your_writes(spark, sf_dir):
-    db, rows = _loaded(spark, sf_dir, "event_id < 5000")
+    first, second = _shares(spark, sf_dir, 2)
+    db, rows = _loaded(spark, sf_dir, first)
     txn = db.transaction()
-    txn.append(rows.where("event_id >= 5000"), seq="event_id")
+    txn.append(rows.where(second), seq="event_id")
     return txn.query(ordered=False)
 
 
@@ -177,7 +195,7 @@ def read_your_writes(spark, sf_dir):
 def rollback_view(spark, sf_dir):
     db, rows = _loaded(spark, sf_dir, "event_id < 5000")
     with db.transaction() as txn:
-        txn.append(rows.where("event_id >= 5000"), seq="event_id")
+        txn.append(_altered(rows), seq="event_id")
         txn.flush()
         txn.rollback()
     with db.transaction() as txn:
@@ -188,7 +206,7 @@ def rollback_view(spark, sf_dir):
 def multi_segment_txn(spark, sf_dir):
     db, rows = database(spark, BY_USER), stored_events(spark, sf_dir)
     with db.transaction() as txn:
-        for part in ("event_id < 3000", "event_id >= 3000 and event_id < 6000", "event_id >= 6000"):
+        for part in _shares(spark, sf_dir, 3):
             txn.append(rows.where(part), seq="event_id")
             txn.flush()
         txn.commit()
@@ -199,7 +217,7 @@ def multi_segment_txn(spark, sf_dir):
 @query(stored_sql())
 def reopen_database(spark, sf_dir):
     """Committed rows after opening the directory again; staged ones are gone."""
-    db, rows = _loaded(spark, sf_dir, "event_id < 5000", "event_id >= 5000")
+    db, rows = _loaded(spark, sf_dir, *_shares(spark, sf_dir, 2))
     left = db.transaction()
     left.append(rows.withColumn("value_milli", F.lit(7).cast("long")))
     left.flush()
@@ -210,7 +228,7 @@ def reopen_database(spark, sf_dir):
 
 @query(stored_sql())
 def compacted_database(spark, sf_dir):
-    db, _ = _loaded(spark, sf_dir, "event_id < 5000", "event_id >= 5000")
+    db, _ = _loaded(spark, sf_dir, *_shares(spark, sf_dir, 2))
     db.compact()
     with db.transaction() as txn:
         return txn.query(ordered=False)

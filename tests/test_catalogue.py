@@ -18,3 +18,15 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(columns) == sorted(got.columns)
     rows = lambda rs: sorted((tuple(r) for r in rs), key=repr)
     assert rows(got.select(*columns).collect()) == rows(want.fetchall())
+
+
+@pytest.mark.parametrize("name, txns", [("snapshot_horizon", 3), ("rollback_view", 2), ("multi_segment_txn", 1), ("reopen_database", 3), ("compacted_database", 3)])
+def test_paths_are_taken_on_a_small_table(spark, monkeypatch, name, txns):
+    from gridloom.plans import catalogue
+
+    made, database = [], catalogue.database
+    monkeypatch.setattr(catalogue, "database", lambda *a: made.append(database(*a)) or made[-1])
+    QUERIES[name](spark, DATA)
+    assert made[0].next_txn == txns + 1
+    if name == "multi_segment_txn":
+        assert made[0].commits[1]["segments"] == [0, 1, 2]
