@@ -6,7 +6,9 @@ be expected in any corpus (under 2^-60 for 10^10 distinct words).
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -87,8 +89,14 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse
 
 
+def _flat(ids: list) -> np.ndarray:
+    if isinstance(ids[0], array):
+        return np.frombuffer(b"".join(x.tobytes() for x in ids), np.uint32)
+    return np.fromiter(chain.from_iterable(ids), np.uint32)
+
+
 class WordTable:
-    """Token ids of words by hash, in flat arrays. Beyond ``most`` words it starts anew, which costs time only."""
+    """Token ids of words by hash, in flat arrays. Beyond ``most`` words or 8 times as many ids it starts anew, which costs time only."""
 
     def __init__(self, most: int = 1_000_000):
         self.most = most
@@ -108,7 +116,7 @@ class WordTable:
     def add(self, a: np.ndarray, b: np.ndarray, ids: list) -> None:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, *([np.concatenate(ids).astype(np.uint32)] if len(ids) and n.sum() else [])])
+        self.flat = np.concatenate([self.flat, *([_flat(ids)] if len(ids) and n.sum() else [])])
         order = np.argsort(a, kind="stable")
         a, b, n, at = a[order], b[order], n[order], at[order]
         place = np.searchsorted(self.a, a)
@@ -120,7 +128,7 @@ class WordTable:
         if not len(a):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         first, inverse = distinct(a, b)
-        if len(self.a) + len(first) > self.most:
+        if len(self.a) + len(first) > self.most or len(self.flat) > 8 * self.most:
             self.clear()
         ka, kb = a[first], b[first]
         new = np.flatnonzero(self.find(ka, kb) < 0)
@@ -134,7 +142,7 @@ class WordTable:
             start = len(self.flat)
             ids = learn([body[i:j] for i, j in zip(starts[first[odd]].tolist(), ends[first[odd]].tolist(), strict=True)])
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, *ids]).astype(np.uint32)
+            self.flat = np.concatenate([self.flat, *(np.asarray(x, np.uint32) for x in ids)])
             count, begin = self.n[at], self.at[at]
             count[odd], begin[odd] = n, start + np.cumsum(n) - n
         else:

@@ -15,6 +15,7 @@ rows that repeat a doc_id stand side by side, by text; an empty table gives no f
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ FRAME_TOKENS = 1 << 16
 MAGIC, SEEK_MAGIC = b"TOKF", 0x8F92EAB1  # the second is fixed by the seekable format
 SKIP_INDEX, SKIP_SEEK = 0x184D2A50, 0x184D2A5E  # skippable frames; the second is fixed by the seekable format
 NO_ID = -(1 << 63)
+#: The rule by which the tokenizer cuts words: a fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -43,7 +46,9 @@ class WordEncoder:
     """Ids of whole texts as bytes of little-endian uint32, by the tokenizers library.
 
     The tokenizer drops white space, no rule of it looks across a space or line feed and no special token holds
-    one, so a text's ids are those of its words in order. Each distinct word is encoded once and remembered.
+    one, so a text's ids are those of its words in order. Where the file's rules are the known ones (see SPLIT),
+    words are cut further where these rules always cut, and ASCII capitals are lowered first, as the rules do; so a
+    word has one entry whatever stands before or after it. Each distinct unit is encoded once and remembered.
     """
 
     def __init__(self, path: str):
@@ -54,16 +59,21 @@ class WordEncoder:
 
         from gridloom.llm._words import WordTable
 
+        with open(path, encoding="utf-8") as f:
+            self.fine = cuts_are_known(json.load(f))
         self.tokenizer, self.known = Tokenizer.from_file(path), WordTable()
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def _learn(self, words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        return [x.ids for x in self._batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         from gridloom.llm._words import joined, per_text, tokens
 
         buf, offsets = joined(texts)
         starts, ends = tokens(buf, offsets, _gaps())
+        if self.fine:
+            buf, starts, ends = units(buf, offsets, starts, ends)
         ids, sizes = self.known.ids_of(buf, starts, ends, self._learn)
         body, cuts = ids.astype("<u4").tobytes(), (4 * per_text(offsets, starts, sizes)).tolist()
         return [body[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
@@ -83,6 +93,59 @@ def _gaps():
     return gaps
 
 
+def cuts_are_known(rules: dict) -> bool:
+    """Whether a tokenizer's file has the rules that ``units`` goes by."""
+    try:
+        first, second = rules["pre_tokenizer"]["pretokenizers"]
+        return (
+            first["type"] == "Split" and first["pattern"]["Regex"] == SPLIT and first["behavior"] == "Removed" and first["invert"] is True
+            and second["type"] == "ByteLevel" and not second["add_prefix_space"] and not second["use_regex"]
+            and [x["type"] for x in rules["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+            and all(x["content"].startswith("<|") and x["content"].endswith("|>") and " " not in x["content"] for x in rules["added_tokens"])
+        )
+    except (KeyError, TypeError, ValueError, IndexError):
+        return False
+
+
+@lru_cache(1)
+def _tables():
+    """Kind of each byte (0 other, 1 ASCII letter, 2 digit, 3 other visible ASCII, 4 apostrophe), which kinds are cut apart, and lower case."""
+    import numpy as np
+
+    kind = np.zeros(256, np.uint8)
+    kind[0x21:0x7F] = 3
+    kind[ord("0") : ord("9") + 1] = 2
+    kind[ord("A") : ord("Z") + 1] = kind[ord("a") : ord("z") + 1] = 1
+    kind[ord("'")] = 4
+    cut = np.zeros((5, 5), bool)
+    # A letter run ends at what is no letter, a digit stands alone, a run of other characters ends at a letter or
+    # digit; but an apostrophe may belong to the letters after it. Nothing is cut next to a byte that is not ASCII.
+    cut[1, 2:] = cut[2, 1:] = cut[3, 1:3] = True
+    cut[4, 2] = True
+    lower = np.arange(256, dtype=np.uint8)
+    lower[ord("A") : ord("Z") + 1] += 32
+    return kind, cut.ravel(), lower
+
+
+def units(buf, offsets, starts, ends):
+    """``buf`` in lower case and the starts and ends of the words' units. Words with "<|", which may hold a special token, stay as they are."""
+    import numpy as np
+
+    kind, cut, lower = _tables()
+    body = buf[: int(offsets[-1])]
+    kinds = kind[body]
+    inside = np.zeros(len(body), bool)
+    inside[1:] = cut[kinds[:-1] * np.uint8(5) + kinds[1:]]
+    inside[offsets[:-1][offsets[:-1] < len(body)]] = False  # a text's start is a word's start or a gap
+    lowered = lower[buf]
+    odd = np.flatnonzero((body[:-1] == ord("<")) & (body[1:] == ord("|"))) if len(body) else []
+    for k in np.unique(np.searchsorted(starts, odd, "right") - 1) if len(odd) else ():
+        inside[starts[k] : ends[k]] = False
+        lowered[starts[k] : ends[k]] = buf[starts[k] : ends[k]]
+    more = np.flatnonzero(inside)
+    return lowered, np.sort(np.concatenate([starts, more])), np.sort(np.concatenate([ends, more]))
+
+
 class FrameWriter:
     """Writes one file; documents must come in order."""
 
