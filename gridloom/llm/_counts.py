@@ -46,52 +46,3 @@ def summed_cells(df: DataFrame, cells: int, counter) -> "numpy.ndarray":  # noqa
         out[row["part"]] = np.frombuffer(row["counts"], np.int64)
     return out.ravel()[:cells]
 
-
-LEVEL_PARTS = 64
-
-
-def cell_levels(df: DataFrame, cells: int, places) -> "numpy.ndarray":  # noqa: F821
-    """floor(log2(count)) of each cell as a byte (0 for none); ``places(batch)`` yields arrays of the cells met.
-
-    A task holds four bytes a cell and sends LEVEL_PARTS compressed ranges; the sums become levels on the
-    executors, so the driver gets one byte a cell, whatever the input's size.
-    """
-    import numpy as np
-    import zstandard
-
-    width = -(-cells // LEVEL_PARTS)
-
-    def count(batches):
-        import pyarrow as pa
-
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                total = np.zeros(width * LEVEL_PARTS, np.uint32) if total is None else total
-                for at in places(batch):
-                    np.add.at(total, at, 1)
-        if total is not None:
-            pack = zstandard.ZstdCompressor(level=1).compress
-            for part, found in enumerate(total.reshape(LEVEL_PARTS, width)):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": [pack(found.tobytes())]})
-
-    def add(batches):
-        import pyarrow as pa
-
-        totals: dict = {}
-        for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint32)
-                if part in totals:
-                    totals[part] += found
-                else:
-                    totals[part] = found.astype(np.uint64)
-        for part, found in totals.items():
-            levels = np.floor(np.log2(np.maximum(found, 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": [levels.tobytes()]})
-
-    schema = "part int, counts binary"
-    out = np.zeros((LEVEL_PARTS, width), np.uint8)
-    for row in df.mapInArrow(count, schema).repartition(LEVEL_PARTS, "part").mapInArrow(add, schema).collect():
-        out[row["part"]] = np.frombuffer(row["counts"], np.uint8)
-    return out.ravel()[:cells]

@@ -1,25 +1,30 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-Tokens are five-word shingles (64-bit hashes). A global order puts tokens of frequent cells last and orders the
-rest by a keyed hash; each order has a key of its own. If two sets reach the threshold they share a token of
-their prefixes under every order, the prefix being the first n - ceil(0.8 n) + 1 tokens. So candidates that meet
-in the index of the first order must also share a prefix token under each other order, and sets that pass all of
-these filters are compared in full.
-
-Frequency: all tokens are counted in CELLS cells (a fixed size, summed on the executors); a token's class is the
-power of two of its cell's count, so rare tokens come first. The order needs no exact counts to give right results;
-they keep passages that several documents share out of the prefixes, and let a copy with many tokens of its own meet
-nothing.
-
-Skew: documents with equal sets are one class and enter once. The candidates are taken in three rounds. In the first
-two each class is compared with the hubs it meets only (each token has one hub, the most central set that holds
-it), so a group of near copies costs about as many comparisons as it has members, not its square. In the third, all
-pairs that share a prefix token at places that leave room for the overlap they need, and that are not yet in one
-component, are compared; since links inside a component add nothing to it, no component is missed. Tokens are aggregated before they are shuffled; joins with hot keys can be split.
+Tokens are five-word shingles (64-bit hashes). A global order puts rare tokens first; if two sets reach the threshold,
+they share a token of their prefixes under every such order, the prefix being the first n - ceil(0.8 n) + 1 tokens.
+So the sets that meet in the index of the first order's prefixes are candidates only if they also share a prefix token
+under each other order; that is found from the prefixes alone, and texts move for the pairs that are left, which are
+compared in full.
+
+Frequency: all tokens of all documents are counted, at any size of the corpus. A token's key has as many bits as
+numbers all tokens, and SPARE more; blocks of texts send their distinct keys, packed, to the part that counts them,
+and get back a level for each. Tokens that no other class holds come first in every order. A set whose prefix has no
+other tokens can have no link and goes no further; of the others these tokens are left out of the index. The orders
+differ in what they call equally rare, and order equally rare tokens by hashes of their own. Keys that two tokens
+share by chance make an order coarser, never a result wrong.
+
+Skew: documents with equal sets are one class, named by 128 bits, and enter once. The candidates are taken in three
+rounds. In the first two each class is compared with the hubs it meets only (each token has one hub, the most central
+set that holds it), so a group of near copies costs about as many comparisons as it has members, not its square. In
+the third, all pairs that share a prefix token at places that leave room for the overlap they need, and that are not
+yet in one component, are compared; since links inside a component add nothing to it, no component is missed. What
+joins with hot keys read is written before, so that their partitions can be split. The result is the components;
+pairs inside a component are not all verified.
 
 Defined results: A-Z is lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one shingle;
 a text without words has no shingles and is linked with nothing; a null doc_id is no member's name, but its text
-links others; an empty table gives an empty result; other columns are ignored.
+links others; rows that repeat a doc_id stand for themselves; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,219 +32,89 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WORD, forget, table, written
-from gridloom.llm._counts import cell_levels
+from gridloom.llm._common import WORD, forget, shuffle_partitions, table, written
+from gridloom.llm._shingles import DENOMINATOR, NUMERATOR, PART_TOKENS, SPARE, packed, prefixes, shingle_sets, token_levels
 from gridloom.llm.components import components
 
-NUMERATOR, DENOMINATOR = 4, 5  # the similarity 0.8
-WORDS, CELLS = 5, 1 << 24
-#: Keys of the orders; the first one's prefixes are indexed.
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-POLY, MIX = 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9
-#: Classes a task remembers so as not to send their prefix twice; beyond that it starts anew.
-SEEN = 1_000_000
-#: Cells of the sieve that keeps texts nobody asks for out of a shuffle: the most rows it broadcasts.
+#: Cells of the sieve that keeps what nobody asks for out of a shuffle: the most rows it broadcasts.
 SIEVE = 1 << 20
 
 
-def shingle_sets(texts: list[bytes]) -> list:
-    """Sorted distinct shingle hashes (uint64) of each text."""
-    import numpy as np
-
-    from gridloom.llm._words import hashes, joined, spread, tokens
-
-    buf, offsets = joined(texts)
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    gap = np.zeros(256, bool)
-    gap[[0x20, *range(0x09, 0x0E)]] = True
-    buf = lower[buf]
-    starts, ends = tokens(buf, offsets, gap)
-    word = hashes(buf, starts, ends)[0]
-    first = np.searchsorted(starts, offsets)
-    n, poly = np.diff(first), np.uint64(POLY)
-
-    def finish(s):
-        s = (s ^ (s >> np.uint64(31))) * np.uint64(MIX)
-        return s ^ (s >> np.uint64(29))
-
-    with np.errstate(over="ignore"):
-        at = spread(first[:-1], np.maximum(n - WORDS + 1, 0))
-        s = np.zeros(len(at), np.uint64)
-        for k in range(WORDS):
-            s = s * poly + word[at + k]
-        s = finish(s)
-        cuts = np.concatenate([[0], np.cumsum(np.maximum(n - WORDS + 1, 0))])
-        out = []
-        for i in range(len(texts)):
-            if n[i] >= WORDS:
-                out.append(np.unique(s[cuts[i] : cuts[i + 1]]))
-                continue
-            short = np.full(min(1, n[i]), n[i], np.uint64)
-            for w in word[first[i] : first[i + 1]]:
-                short = short * poly + w
-            out.append(finish(short))
-    return out
-
-
-def prefix(tokens, order: int, classes):
-    """The first tokens under an order, in that order; ``classes`` has the frequency class of each cell."""
-    import numpy as np
-
-    n = len(tokens)
-    most = n - -(-n * NUMERATOR // DENOMINATOR) + 1
-    level = classes[(tokens & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = tokens * np.uint64(order)
-        place = (level << np.uint64(58)) | ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(MIX) >> np.uint64(6))
-    return tokens[np.argsort(place, kind="stable")[:most]]
-
-
-def linked(a, b, classes) -> bool:
-    """The filters of all orders, then the comparison in full."""
+def linked(a, b) -> bool:
     import numpy as np
 
     if len(a) * DENOMINATOR < len(b) * NUMERATOR or len(b) * DENOMINATOR < len(a) * NUMERATOR or not len(a):
         return False
-    for order in ORDERS[1:]:
-        if not len(np.intersect1d(prefix(a, order, classes), prefix(b, order, classes), assume_unique=True)):
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, text_hash, n_shingles, cls and check: a document's name in joins, its text's hash, its set's size and 128-bit hash."""
-    rid = F.coalesce("doc_id", F.xxhash64("text"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(rid.alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-
-    def describe(batches):
-        import pyarrow as pa
-        import xxhash
-
-        from gridloom.llm._words import text_slices
-
-        for batch in batches:
-            for piece in text_slices(batch, 3):
-                sets = shingle_sets(piece.column(3).to_pylist())
-                marks = [class_of(s, xxhash) for s in sets]
-                columns = [*(piece.column(c) for c in range(3)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[c] for m in marks], pa.int64()) for c in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "text_hash", "n_shingles", "cls", "check"])
-
-    return rows.mapInArrow(describe, "rid long, doc_id long, text_hash long, n_shingles long, cls long, check long")
-
-
-def class_of(tokens, xxhash) -> tuple[int, int]:
-    whole = xxhash.xxh3_128_intdigest(tokens.tobytes())
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(whole >> 64), signed(whole & ((1 << 64) - 1))
-
-
-def token_classes(docs: DataFrame):
-    """The frequency class of each cell, over all documents."""
-    import numpy as np
-
-    def places(batch):
-        from gridloom.llm._words import text_slices
-
-        for piece in text_slices(batch):
-            yield (np.concatenate(shingle_sets(piece.column(0).to_pylist())) & np.uint64(CELLS - 1)).astype(np.int64)
-
-    return cell_levels(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), CELLS, places)
-
-
-def prefix_keys(docs: DataFrame, classes) -> DataFrame:
-    """key, cls, n, place: the indexed prefix tokens of each set and their places, once for each task that meets the set."""
-
-    def emit(batches):
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        from gridloom.llm._words import text_slices
-
-        seen: set[int] = set()
-        for batch in batches:
-            for piece in text_slices(batch):
-                keys, names, sizes = [], [], []
-                for s in shingle_sets(piece.column(0).to_pylist()):
-                    name = class_of(s, xxhash)[0]
-                    if not len(s) or name in seen:
-                        continue
-                    if len(seen) > SEEN:
-                        seen.clear()
-                    seen.add(name)
-                    keys.append(prefix(s, ORDERS[0], classes.value))
-                    names.append(name)
-                    sizes.append(len(s))
-                if keys:
-                    each = [len(k) for k in keys]
-                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in each]))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "n", "place"])
-
-    return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, "key long, cls long, n int, place int")
-
-
 def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``wanted``; by hash cells, so a join with ``wanted`` must follow."""
     cell = F.pmod(F.xxhash64(key), F.lit(SIEVE))
     return rows.join(F.broadcast(wanted.select(cell.alias("_cell")).distinct()), cell == F.col("_cell"), "left_semi")
 
 
-def candidate_texts(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
-    """cls and text of the classes that share an indexed token with another; the documents' texts move once, here."""
-    rid = F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = docs.select(rid.alias("rid"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    wanted = written(reps.join(members.select("cls").distinct(), "cls").select("rid", "cls"), "jaccard-wanted")
-    return written(sieved(texts, "rid", wanted).join(wanted, "rid").select("cls", "text"), "jaccard-texts")
+def key_bits(tokens: int, partitions: int) -> tuple[int, int]:
+    """Bits of a token's key, and how many of them number the parts that count; both grow with the tokens."""
+    bits = min(63, max(24, tokens.bit_length() + SPARE))
+    return bits, min(bits - 1, max(4 * partitions, tokens // PART_TOKENS, 2).bit_length())
+
 
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b: classes) that share a prefix token under the other orders too; no text is read."""
+    of_a, of_b = (sieved(classes.select(F.col("cid").alias(x), F.col("k2").alias(f"k2_{x}"), F.col("k3").alias(f"k3_{x}")), x, pairs) for x in "ab")
+    both = pairs.join(of_a, "a").join(of_b, "b")
+    return both.where(F.arrays_overlap("k2_a", "k2_b") & F.arrays_overlap("k3_a", "k3_b")).select("a", "b")
 
-def compared(pairs: DataFrame, texts: DataFrame, classes) -> DataFrame:
+
+def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that reach the threshold. A hub's text may be wanted by most rows; its join can be split."""
-    of_a, of_b = (sieved(texts.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}")), x, pairs) for x in "ab")
+    of_a, of_b = (sieved(classes.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}")), x, pairs) for x in "ab")
     with_b = pairs.join(of_a, "a").join(of_b, "b")
 
     def compare(batches):
         import pyarrow as pa
-        import xxhash
 
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 a, b, texts_a, texts_b = (c.to_pylist() for c in batch.columns)
                 distinct = {t: i for i, t in enumerate(dict.fromkeys(texts_a + texts_b))}
                 sets = shingle_sets(list(distinct))
-                marks = [class_of(s, xxhash)[0] for s in sets]
-                found = []
-                for x, y, s, t in zip(a, b, texts_a, texts_b, strict=True):
-                    i, j = distinct[s], distinct[t]
-                    # Where several rows have one doc_id, another row's text may stand here.
-                    if marks[i] == x and marks[j] == y and linked(sets[i], sets[j], classes.value):
-                        found.append((x, y))
+                found = [(x, y) for x, y, s, t in zip(a, b, texts_a, texts_b, strict=True) if linked(sets[distinct[s]], sets[distinct[t]])]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct()
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls, component and text_hash for each row of ``docs``; component is null for a text without words."""
+def indexed_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n, cls, check), names (cls, check, cid, doc_id: the least of each class) and the classes
+    that can have links, with their prefixes (see ``prefixes``)."""
     spark = docs.sparkSession
-    info = written(described(docs), "jaccard-info")
-    # A class's document is its least; rows of one class whose other hash differs would share a class by accident.
-    reps = written(info.where("n_shingles > 0").groupBy("cls").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), (F.min("check") != F.max("check")).alias("mixed")), "jaccard-classes")
-    if not reps.where("mixed").isEmpty():
-        raise RuntimeError("two shingle sets share a 64-bit hash; change POLY")
-    classes = spark.sparkContext.broadcast(token_classes(docs))  # CELLS bytes
-    keys = written(prefix_keys(docs, classes), "jaccard-keys")
-    met = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
-    # Exact copies in several tasks sent their class more than once.
-    members = written(keys.join(met.select("key"), "key").select("key", "cls", "n", "place").distinct(), "jaccard-members")
-    forget(keys)
-    texts = candidate_texts(docs, reps, members)
+    both = written(packed(docs), "jaccard-packs")
+    rows, packs = both.where("pack is null").select("doc_id", "text_hash", "n", "cls", "check", "uid", "block"), both.where("pack is not null").select("block", "pack")
+    names = written(rows.where("n > 0").groupBy("cls", "check").agg(F.min("uid").alias("cid"), F.min("block").alias("block"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "jaccard-names")
+    bits, part_bits = key_bits(int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), shuffle_partitions(spark))
+    levels = written(token_levels(packs, bits, part_bits), "jaccard-levels")
+    classes = written(prefixes(packs, levels, names.select("block", "cid"), bits), "jaccard-prefixes")
+    forget(levels)
+    rows = written(rows.select("doc_id", "text_hash", "n", "cls", "check"), "jaccard-rows")
+    forget(both)
+    return rows, names, classes
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, component and text_hash for each row of ``docs``; component is null for a text without words."""
+    rows, names, classes = indexed_classes(docs)
+    keys = classes.select("cid", "n", "singles", F.posexplode("k1").alias("at", "key")).select("key", F.col("cid").alias("cls"), "n", (F.col("singles") + F.col("at")).alias("place"))
+    met = written(keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key"), "jaccard-met")
+    members = written(keys.join(met, "key"), "jaccard-members")
 
     # The more of a set's prefix others hold too, the more central it is: the original among its altered copies.
     most = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
     central = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).select("cls", (-F.round(F.col("held") * 1000 / most)).cast("int").alias("outer"))
-    hubs = members.join(central, "cls").groupBy("key").agg(F.min(F.struct("outer", "cls", "n", "place")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_b"), (F.col("hub.n") - F.col("hub.place")).alias("rest_b"))
+    hubs = members.join(central, "cls").groupBy("key").agg(F.min(F.struct("outer", "cls", "n", "place")).alias("hub"))
+    hubs = written(hubs.select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_b"), (F.col("hub.n") - F.col("hub.place")).alias("rest_b")), "jaccard-hubs")
     # The first token that two sets share has no more shared tokens after it than the shorter rest holds, and that
     # must do for the overlap they need.
     enough = F.least("rest_a", "rest_b") * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
@@ -250,34 +125,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # across components.
     first = votes.groupBy("cls").agg(F.max(F.struct("votes", "hub"))["hub"].alias("b")).select(F.col("cls").alias("a"), "b")
     known = written(first, "jaccard-first")
-    links = written(compared(known, texts, classes), "jaccard-links")
-    of = components(links)
+    links = written(compared(written(agreeing(known, classes), "jaccard-agreeing"), classes), "jaccard-links")
+    of = written(components(links), "jaccard-components")
     for step in ("hubs", "all"):
-        of = written(of, "jaccard-components")
         label = of.select(F.col("node").alias("cls"), "component")
         if step == "hubs":
-            sides = [votes.select(F.col("cls").alias("a"), F.col("hub").alias("b"))]
+            pairs = votes.select(F.col("cls").alias("a"), F.col("hub").alias("b"))
             for x in "ab":
-                sides.append(sides[-1].join(label.select(F.col("cls").alias(x), F.col("component").alias(f"c_{x}")), x, "left"))
-            pairs = sides[-1].where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+                pairs = pairs.join(label.select(F.col("cls").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+            pairs = pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
         else:
             placed = written(members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "jaccard-placed")
             open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            left = written(placed.join(open_keys, "key"), "jaccard-open")
+            left = written(placed.join(written(open_keys, "jaccard-open-keys"), "key"), "jaccard-open")
             a, b = (left.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("place")).alias(f"rest_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
             pairs = a.join(b, "key").where((F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
         either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = written(pairs.join(either, ["a", "b"], "left_anti"), f"jaccard-{step}")
-        more = written(compared(pairs, texts, classes), f"jaccard-links-{step}")
         known = known.unionByName(pairs)
+        if pairs.isEmpty():
+            continue
+        more = written(compared(written(agreeing(pairs, classes), f"jaccard-agreeing-{step}"), classes), f"jaccard-links-{step}")
         if not more.isEmpty():
             links = links.unionByName(more)
-            of = components(links)
-
-    grouped = reps.join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = written(grouped.join(ids, "component").select("cls", "component_id", "component"), "jaccard-ids")
-    return info.join(named, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"), "text_hash")
+            of = written(components(links), "jaccard-components")
+
+    # A component may hold a third of all classes, a class a third of all rows; each side of these joins is written, so
+    # that large partitions can be split.
+    grouped = written(names.join(of.withColumnRenamed("node", "cid"), "cid", "left").select("cls", "check", "doc_id", F.coalesce("component", "cid").alias("component")), "jaccard-grouped")
+    ids = written(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-ids")
+    named = written(grouped.join(ids, "component").select("cls", "check", "component_id", "component"), "jaccard-named")
+    named = rows.withColumnRenamed("n", "n_shingles").join(named, ["cls", "check"], "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component", "text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
