@@ -9,7 +9,8 @@ Two kinds of model files are read. In a unigram model a path's score is the sum
 model a step from piece s to piece t is allowed if merging the text of s + t gives back s, t, and forbidden
 (score minus infinity) otherwise; by a known property of BPE exactly one path is allowed at each place, and it is
 the encoding, so the same search gives the library's ids. Words that start with several markers are merged
-directly, because the pieces of bare markers share one score.
+directly, because the pieces of bare markers share one score. Words beyond LONG characters, which share no prefix
+worth keeping, are searched with states for the longest piece only and a few bytes a character.
 
 Defined results: null text counts as empty and has no ids; characters without a piece become byte pieces (or
 unk if the model has none); a literal marker character decodes as a space, as in the library. Further columns
@@ -21,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,9 @@ from gridloom.llm._common import table
 
 MARK = "▁"
 #: Pairs of pieces of which a worker remembers whether they stay apart; beyond that it starts anew.
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 250_000
+#: Characters from which a word is searched by itself, in flat arrays.
+LONG = 1024
 #: Stands for the last piece where there is none yet.
 START = (1 << 24) - 1
 UNIGRAM, BPE = 1, 2
@@ -170,24 +174,66 @@ class PieceModel:
             end -= sizes[end]
         return out[::-1]
 
+    def long_path(self, word: str):
+        """As ``path`` for a word of any length: yields its pieces. A step looks back by the longest piece at most, so
+        the pieces under way and the last pieces are kept for that many places, and of the rest only the sizes."""
+        kept, unigram, window = self.kept_pairs, self.kind == UNIGRAM, self.longest + 1
+        best, last, sizes = [0.0] * window, [START] * window, array("H", [0])
+        under_way: list[tuple] = []
+        for end in range(1, len(word) + 1):
+            c = word[end - 1]
+            own = self.root[0].get(c)
+            if own is None or own[1] < 0:
+                self._plant(c, self._number(c))
+                own = self.root[0][c]
+            under_way = [child for node in under_way if (child := node[0].get(c))]
+            under_way.append(own)
+            top, piece, size = float("-inf"), -1, 0
+            for _, number, depth in under_way:
+                if number < 0:
+                    continue
+                start = end - depth
+                if unigram:
+                    if (score := best[start % window] + self.score(number)) > top:
+                        top, piece, size = score, number, depth
+                    continue
+                pair = last[start % window] << 24 | number
+                allowed = kept.get(pair)
+                if allowed is None:
+                    if len(kept) > MEMO_PAIRS:
+                        kept.clear()
+                    allowed = kept[pair] = not start or self._follows(word[start - sizes[start] : start], word[start:end])
+                if allowed:
+                    top, piece, size = 0.0, number, depth
+                    break
+            best[end % window], last[end % window] = top, piece
+            sizes.append(size)
+        cuts, end = array("q"), len(word)
+        while end:
+            cuts.append(end)
+            end -= sizes[end]
+        for end in reversed(cuts):
+            yield word[end - sizes[end] : end]
+
     def score(self, number: int) -> float:
         return self.scores[self.pieces[number]] if number < len(self.pieces) else self.least
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self.merge(word) if self.kind == BPE and word.startswith(MARK * 2) else self.path(word):
+    def word_ids(self, word: str):
+        out = array("I")
+        merged = self.kind == BPE and word.startswith(MARK * 2)
+        for piece in self.merge(word) if merged else self.long_path(word) if len(word) > LONG else self.path(word):
             if (found := self.ids.get(piece)) is not None:
                 out.append(found)
             elif self.byte_ids:
                 out.extend(self.byte_ids[b] for b in piece.encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return tuple(out)
+        return out
 
-    def learn(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def learn(self, words: list[bytes]) -> list:
         """Encode distinct words (their markers as spaces) in the order of their trie."""
         marked = [w.decode("utf-8", "replace").replace(" ", MARK) for w in words]
-        out: list = [()] * len(marked)
+        out: list = [None] * len(marked)
         for i in sorted(range(len(marked)), key=marked.__getitem__):
             out[i] = self.word_ids(marked[i])
         return out
@@ -213,8 +259,13 @@ class PieceModel:
         """For models without a leading marker, where a text's first word may have none."""
         import numpy as np
 
-        found = [sum(map(self.word_ids, MARKED.findall(t.decode("utf-8", "replace").replace(" ", MARK))), ()) for t in texts]
-        return np.array(sum(found, ()), np.uint32), np.cumsum([0, *map(len, found)])
+        found = array("I")
+        ends = [0]
+        for t in texts:
+            for word in MARKED.findall(t.decode("utf-8", "replace").replace(" ", MARK)):
+                found.extend(self.word_ids(word))
+            ends.append(len(found))
+        return np.array(found, np.uint32), np.array(ends)
 
     # -- decoding ------------------------------------------------------------------------------------------
 
@@ -251,11 +302,13 @@ def _model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
-def encode(df: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the column ``ids`` (array of int), in place of an older column of that name. No shuffle; the model file is a path on the executors."""
+def encode(df: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the column ``ids`` (array of int), in place of an older column of that name; with ``decoded`` also the text
+    decoded from these ids, by the same Python worker. No shuffle; the model file is a path on the executors."""
     path = model or vocabulary()
-    df = df.drop(ids) if ids != text else df
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    more = [ids, *([decoded] if decoded else [])]
+    df = df.drop(*(x for x in more if x != text))
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     at = df.columns.index(text)
 
     def run(batches):
@@ -267,8 +320,10 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", ids: str
         for whole in batches:
             for batch in text_slices(whole, at):
                 flat, ends = pieces.encode(batch.column(at).cast("binary").fill_null(b"").to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype("int32")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+                added = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view("int32")))]
+                if decoded:
+                    added.append(pa.array(pieces.decode(flat, ends), pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *more])
 
     return df.mapInArrow(run, schema)
 
@@ -327,4 +382,4 @@ def encoded_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, decoded for each document."""
-    return decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "ids", "decoded")
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded").select("doc_id", "ids", "decoded")
