@@ -1,19 +1,21 @@
 """Quality classifier by importance resampling over hashed n-gram models.
 
 Two generative models count hashed byte n-grams (n = 4 and 8): the raw model over all documents, the target
-model over labelled good ones (a bounded sample, see LABELLED). A document's log importance is the mean log ratio of
-target to raw over its n-grams (with a few grams of ratio 0 added). A fifth of the labelled rows is kept out of the target model; the level that parts
-its good rows from its bad ones best (balanced accuracy) is the classifier's threshold. As many documents are
-drawn as stand above it, by Gumbel top-k: each document's key is its log weight against the threshold (summed
-over its grams, in nats) divided by TEMPERATURE, plus standard Gumbel noise from a hash of its id, and the k largest
-keys stay. So sharpened the draw nearly equals the threshold cut: noise of a few units is some tenths of a nat at
-most, and only documents that near to the threshold can change sides. That is meant: clean documents stay. All documents are scored and whole
-texts are counted.
+model over labelled good ones (a bounded sample, see LABELLED). A document's mean is the mean log ratio of target to
+raw over its n-grams (with a few grams of ratio 0 added). A fifth of the labelled rows is kept out of the target
+model; the level that parts its good rows from its bad ones best (balanced accuracy) stands for the weight 1.
+
+Resampling: a document's log importance weight is its mean against that level times LENGTH, the grams that a document
+counts for whatever its size; so weights of long and short documents compare, and the draw has a say. Its key is the
+log weight plus standard Gumbel noise from a hash of its id, and the documents of the k largest keys are drawn, which
+is sampling without replacement in proportion to the weights. The rate is stated by the weights: k is the number of
+documents whose weight is over 1. Documents well above the level (by some nats) stay and those well below it go;
+within a few nats of it the noise decides. One seed gives one draw. All documents are scored and whole texts counted.
 
 Defined results: a null or empty text has the grams of its line ends only; without good labels, or without bad
 ones held out, there is nothing to learn from and all rows stay; labels for unknown documents are ignored, of
-repeated labels of a document the lowest counts; ties in key go to the smaller doc_id; an empty table gives an
-empty result.
+repeated labels of a document the lowest counts, of rows that repeat a labelled doc_id the lowest mean is held
+against its label; ties in key go to the smaller doc_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ CELLS = len(GRAMS) << BITS
 KAPPA = 4.0  # counts in a cell that the ratio starts to trust
 UNIT = 1 << 16  # log ratios are whole numbers of 1/UNIT, so that sums do not depend on batches
 PRIOR = 128  # grams of ratio 0 that stand in each mean, so that a few odd grams don't decide over a short text
-TEMPERATURE, SEED = 0.02, 17
+LENGTH, SEED = 128, 17  # grams that a document's weight stands for, in nats a gram
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -121,10 +123,12 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataF
 
 
 def threshold(scores: DataFrame) -> float | None:
-    """The mean log ratio (of 1/UNIT) that parts the held-out labels best; None if there is nothing to learn from. Collects LABELLED rows at most."""
+    """The mean log ratio (of 1/UNIT) that parts the held-out labels best; None if there is nothing to learn from.
+    Collects a row for each labelled document, so LABELLED at most."""
     import numpy as np
 
-    rows = scores.where("good is not null").select("held", "good", (F.col("total") / (F.col("n_grams") + PRIOR)).alias("mean")).toPandas()
+    mean = F.col("total") / (F.col("n_grams") + PRIOR)
+    rows = scores.where("good is not null").groupBy("doc_id").agg(F.first("held").alias("held"), F.first("good").alias("good"), F.min(mean).alias("mean")).toPandas()
     if not (rows.good & ~rows.held).any():
         return None
     held = rows[rows.held].sort_values("mean", ascending=False)
@@ -144,8 +148,7 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     level = threshold(scores)
     mean = F.col("total") / (F.col("n_grams") + PRIOR)
     uniform = (F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text_hash"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight = (F.col("total") - (F.col("n_grams") + PRIOR) * F.lit(level or 0.0)) / UNIT
-    keyed = scores.withColumn("log_weight", weight).withColumn("sample_key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(uniform)))
+    keyed = scores.withColumn("log_weight", (mean - F.lit(level or 0.0)) * (LENGTH / UNIT)).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
     names = ["doc_id", "text_hash", "n_grams", "log_weight", "sample_key", "kept", "good", "held"]
     if level is None:
         return keyed.withColumn("kept", F.lit(True)).select(*names)
