@@ -146,6 +146,29 @@ def test_sentencepiece(docs, none):
     assert sorted(found, key=order) == sorted(wanted, key=order) and encoded_digests(none).count() == 0
 
 
+def test_sentencepiece_long_words_take_few_bytes_a_character():
+    import tracemalloc
+
+    import sentencepiece
+
+    from gridloom.llm.sentencepiece_ops import PieceModel, vocabulary
+
+    with open(vocabulary(), "rb") as f:
+        raw = f.read()
+    own, library = PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    draw = np.random.default_rng(8)
+    texts = ["".join(draw.choice(list("abcdething中é😀012"), n)) for n in (1022, 1023, 1024, 20000)] + ["x  " + "ab" * 2000]
+    ids, ends = own.encode([t.encode() for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == library.encode(texts)
+    word = "▁" + "".join(draw.choice(list("abcdefgh中"), 100_000))
+    tracemalloc.start()
+    try:
+        found = own.word_ids(word)
+        assert tracemalloc.get_traced_memory()[1] < 30 * len(word) and len(found) > 20_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_sentencepiece_query_returns_ids_and_texts(spark, tmp_path):
     import sentencepiece
 
@@ -216,6 +239,25 @@ def test_token_files(spark, docs, none, tmp_path):
     assert read_token_files(write_token_files(none, f"file://{tmp_path}/e")).count() == 0
 
 
+def test_token_files_cut_words_as_the_library_does():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    from gridloom.llm.token_files import WordEncoder, cuts_are_known, vocabulary
+
+    own, library = WordEncoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    assert own.fine and not cuts_are_known({}) and not cuts_are_known({"pre_tokenizer": {"type": "Whitespace"}, "normalizer": None, "added_tokens": []})
+    part = st.sampled_from([*"abcXYZ's019.,;!<|>-_ \n\t\x00\x7fé\u0301’–½²中ΣςİK", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL", "don't", "<|"]) | st.characters(codec="utf-8")
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(part, max_size=25).map("".join), min_size=1, max_size=4))
+    def same(texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    same()
+
+
 def shingles(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(ws[j : j + 5]) for j in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
@@ -238,9 +280,13 @@ def components_of(rows):
     return [(rows[i][0], len(sets[i]), min((rows[j][0] for j in range(len(rows)) if top(j) == top(i) and rows[j][0] is not None), default=None)) for i in range(len(rows))]
 
 
-def test_jaccard_join(spark, docs, none):
+@pytest.mark.parametrize("bits", [None, (6, 2)])  # with 6 bits most keys stand for several tokens
+def test_jaccard_join(spark, docs, none, bits, monkeypatch):
+    from gridloom.llm import jaccard_join
     from gridloom.llm.jaccard_join import jaccard_components, keep_one
 
+    if bits:
+        monkeypatch.setattr(jaccard_join, "key_bits", lambda *_: bits)
     draw = np.random.default_rng(2)
     rows = [(r[0], r[1]) for r in ROWS]
     for n in range(60):  # altered copies of copies
@@ -250,11 +296,32 @@ def test_jaccard_join(spark, docs, none):
         rows.append((100 + n, " ".join(text)))
     found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found), key=repr) == sorted(components_of(rows), key=repr)
+    if bits:
+        return
     kept = keep_one(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 8, 9, None, 10}
     assert jaccard_components(none).count() == 0
 
 
+def test_jaccard_orders_cut_candidates_before_texts_move(spark):
+    from gridloom.llm.jaccard_join import agreeing, indexed_classes
+
+    # Two passages that five documents share each, and a short one that two share: the first order meets in it, later ones rarely.
+    run = lambda k, i, n: " ".join(f"{k}{i}w{x}" for x in range(n))
+    texts = [" ".join((run("p", n // 5, 36), run("q", n % 8, 36), run("r", n * 7 % 40 // 2, 9))) for n in range(40)]
+    texts += [t.replace("w35 r", "other r") for t in texts[:20]] + [f"{t} more" for t in texts[:20]]
+    sets = [shingles(t) for t in texts]
+    rows, names, classes = indexed_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    keys = classes.select("cid", F.explode("k1").alias("key"))
+    pairs = keys.withColumnRenamed("cid", "a").join(keys.withColumnRenamed("cid", "b"), "key").where("a < b").select("a", "b").distinct().cache()
+    of = {r.cid: r.doc_id for r in names.collect()}
+    first, all_ = ({tuple(sorted((of[r.a], of[r.b]))) for r in x.collect()} for x in (pairs, agreeing(pairs, classes)))
+    alike = {(i, j) for j in range(80) for i in range(j) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    least = {min(n for n in range(80) if sets[n] == sets[i]) for i in range(80)}
+    assert {(i, j) for i, j in alike if {i, j} <= least} <= all_ and len(alike) > 20
+    assert len(all_) < 0.8 * len(first), (len(all_), len(first))
+
+
 @pytest.mark.parametrize(
     "rows, kept",
     [
@@ -295,6 +362,57 @@ def test_quality(spark, docs, none):
     assert resample(none, labels).count() == 0 and keep_good(docs, labels.where("quality = 1")).columns == docs.columns
 
 
+def test_quality_equals_brute_force(spark):
+    import math
+
+    import xxhash
+
+    from gridloom.llm.quality import BITS, GRAMS, KAPPA, LENGTH, MULTIPLIER, PRIOR, SEED, UNIT, resample
+
+    draw = np.random.default_rng(7)
+    clean, junk = ["the", "of", "river", "house", "small", "walks"], ["the", "of", "river", "$$$", "q!"]
+    rows = [(i, " ".join(draw.choice(junk if draw.random() < i / 160 else clean) for _ in range(draw.integers(1, 60)))) for i in range(160)]
+    rows += [(None, "no id"), (200, None), (3, "a second text of one id"), rows[5], rows[5]]
+    labels = {i: int(i < 70) for i in range(0, 160, 2)}
+    held, found = {}, resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, g) for i, g in labels.items()], "doc_id long, quality int")).collect()
+
+    def chain(*values):
+        h = 42
+        for v in values:
+            h = h if v is None else xxhash.xxh64(v if isinstance(v, bytes) else struct.pack("<i" if abs(v) < 1 << 20 and v in (SEED, SEED + 1) and h == 42 else "<q", v), seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    def cells(text):
+        body = b"\n" + (text or "").encode() + b"\n"
+        return [(k << BITS) + ((int.from_bytes(body[i : i + n], "little") * MULTIPLIER % (1 << 64)) >> (64 - BITS)) for k, n in enumerate(GRAMS) for i in range(len(body) - n + 1)]
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        held[i] = i in labels and chain(SEED, i) % 5 == 0
+        raw.update(cells(t))
+        if labels.get(i) and not held[i]:
+            target.update(cells(t))
+    sums = [[sum(n for c, n in x.items() if c >> BITS == k) for k in range(len(GRAMS))] for x in (raw, target)]
+    ratio = lambda c: round(math.log((target[c] + KAPPA) / (raw[c] * (sums[1][c >> BITS] / sums[0][c >> BITS]) + KAPPA)) * UNIT)
+    score = {(i, t): (len(cells(t)), sum(map(ratio, cells(t)))) for i, t in rows}
+    mean = {x: total / (n + PRIOR) for x, (n, total) in score.items()}
+    judged = sorted((min(m for (j, _), m in mean.items() if j == i), labels[i]) for i in labels if held[i])
+    goods = sum(g for _, g in judged)
+    gains = [(sum(g for _, g in judged[at:]) / goods - sum(1 - g for _, g in judged[at:]) / (len(judged) - goods), -at) for at in range(len(judged) + 1)]
+    at = -max(gains)[1]
+    level = (judged[at][0] + (judged[at - 1][0] if at else judged[0][0] - UNIT)) / 2
+    keyed = []
+    for i, t in rows:
+        text_hash = chain((t or "").encode())
+        weight = (mean[i, t] - level) * LENGTH / UNIT
+        keyed.append((weight - math.log(-math.log((chain(SEED + 1, i, text_hash) % (1 << 52) + 0.5) / (1 << 52))), weight, score[i, t][0], i))
+    k = sum(w > 0 for _, w, _, _ in keyed)
+    last = sorted(keyed, reverse=True, key=lambda x: x[0])[k - 1][0]
+    wanted = [(i, n, round(w, 6), round(key, 6), key >= last) for key, w, n, i in keyed]
+    assert sorted(((r.doc_id, r.n_grams, round(r.log_weight, 6), round(r.sample_key, 6), r.kept) for r in found), key=repr) == sorted(wanted, key=repr)
+    assert 0 < k < len(rows) and {i for key, _, _, i in keyed if key >= last} != {i for _, w, _, i in keyed if w > 0}  # the noise has a say
+
+
 def test_neighbours(spark):
     from gridloom.llm.ann import build_index, nearest, usable
 
