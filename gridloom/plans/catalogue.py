@@ -39,6 +39,8 @@ def database(spark: SparkSession, schema: ArraySchema) -> ArrayDatabase:
         import uuid
 
         return ArrayDatabase.create(spark, f"{shared.rstrip('/')}/array-{uuid.uuid4().hex}", schema)
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return ArrayDatabase.create(spark, f"file://{tempfile.mkdtemp(prefix='gridloom-')}/array", schema)
 
 
@@ -87,6 +89,7 @@ def lineitem_latest(spark, sf_dir) -> DataFrame:
     return latest(lineitem_rows(spark, sf_dir), LINE_KEYS, ["l_partkey", "l_suppkey", "quantity"], "version")
 
 
+LINE_ARRAY = ArraySchema([("l_orderkey", 1000), ("l_linenumber", 8)], ["l_partkey", "l_suppkey", "quantity"])
 LINE_SQL = f"""
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_quantity) AS BIGINT) AS quantity
 FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {", ".join(c.strip() + " DESC" for c in LINE_ORDER.split(","))}) = 1"""
@@ -99,20 +102,36 @@ def positioned(rows: DataFrame, dims: list[str]) -> DataFrame:
 # -- scan and versions -----------------------------------------------------------------------------------------
 
 
-@query(f"SELECT *, row_number() OVER (ORDER BY time_ms, user_id) AS pos FROM ({EVENTS_SQL})")
+def overwritten(spark, rows: DataFrame, schema: ArraySchema, seq: str) -> ArrayDatabase:
+    """A database that first gets all rows with other values, then the rows themselves."""
+    db = database(spark, schema)
+    for now in (rows.withColumns({v: F.lit(7).cast("long") for v in schema.vals if v != seq}), rows):
+        with db.transaction() as txn:
+            txn.append(now, seq=seq)
+            txn.commit()
+    return db
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY time_ms, user_id) AS pos FROM (SELECT time_ms, user_id, max(value_milli) AS value_milli FROM ({EVENTS_SQL}) GROUP BY ALL)")
 def scan_all(spark, sf_dir):
-    """The whole array in key order. ``pos`` is the place; on a cluster ``orderBy`` alone gives the order without it."""
-    return positioned(events_array(spark, sf_dir), ["time_ms", "user_id"])
+    """The whole stored array in key order. ``pos`` is the place; on a cluster the scan's own order does without it."""
+    rows = events_array(spark, sf_dir).withColumn("seq", F.col("value_milli"))
+    db = overwritten(spark, rows, ArraySchema([("time_ms", 86_400_000), ("user_id", 100)], ["value_milli"]), "seq")
+    return positioned(db.transaction().query(), ["time_ms", "user_id"])
 
 
 @query(f"SELECT * FROM ({LINE_SQL}) ORDER BY l_orderkey, l_linenumber LIMIT 100")
 def scan_head(spark, sf_dir):
-    return lineitem_latest(spark, sf_dir).orderBy(*LINE_KEYS).limit(100)
+    rows = lineitem_latest(spark, sf_dir).withColumn("seq", F.lit(0))
+    return overwritten(spark, rows, LINE_ARRAY, "seq").transaction().query().limit(100)
 
 
 @query(f"SELECT user_id, event_type, max(event_id) AS event_id, arg_max({MILLI}, event_id) AS value_milli FROM events GROUP BY ALL")
 def latest_version(spark, sf_dir):
-    return latest(events_keyed(spark, sf_dir).withColumn("version", F.col("event_id")), ["user_id", "event_type"], ["event_id", "value_milli"], "version")
+    """The stored array's latest rows, its type numbers turned back into names."""
+    names = events_keyed(spark, sf_dir).select(F.expr(f"cast({TYPE_ID} as bigint)").alias("type_id"), "event_type").distinct()
+    rows = overwritten(spark, stored_events(spark, sf_dir), BY_USER, "event_id").transaction().query(ordered=False)
+    return rows.join(names, "type_id").select("user_id", "event_type", "event_id", "value_milli")
 
 
 @query(LINE_SQL)
@@ -133,7 +152,8 @@ def lww_in_batch(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n_rows FROM ({LINE_SQL})")
 def count_rows(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select(*LINE_KEYS).distinct().agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = lineitem_latest(spark, sf_dir).withColumn("seq", F.lit(0))
+    return spark.createDataFrame([(overwritten(spark, rows, LINE_ARRAY, "seq").transaction().count(),)], "n_rows long")
 
 
 @query(LINE_SQL)
@@ -221,7 +241,7 @@ def reopen_database(spark, sf_dir):
     left = db.transaction()
     left.append(rows.withColumn("value_milli", F.lit(7).cast("long")))
     left.flush()
-    db = ArrayDatabase.open(spark, db.path)
+    db = ArrayDatabase.open(spark, db.path, lease_s=0)
     with db.transaction() as txn:
         return txn.query(ordered=False)
 
@@ -325,7 +345,7 @@ def event_lines(spark, sf_dir) -> DataFrame:
     """Events as lines of a sensor log."""
     half = F.when(F.date_format("ts", "a") == "AM", "a.m.").otherwise("p.m.")
     time = F.concat_ws(" ", F.date_format("ts", "dd/MM/yyyy hh:mm:ss"), half)
-    value = F.format_string("%.3f", "value")
+    value = F.format_string("%.3f", F.floor(F.col("value") * 1000) / 1000)  # cut, not rounded: engines round ties differently
     return read(spark, sf_dir, "events").select(
         "event_id", F.concat_ws("\t", time, F.concat(F.lit("user"), F.col("user_id") % 10), "event_type", F.lit("reading"), value).alias("line")
     )
@@ -446,16 +466,16 @@ def rollup_days(spark, sf_dir):
 SENSOR_SQL = """
 WITH line AS (
   SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000 AS time, 'user' || (user_id % 10) AS component, event_type AS sensor,
-         CAST(round(value * 1000) AS BIGINT) AS value FROM events
-), one AS (SELECT time, component, sensor, count(DISTINCT value) AS n, min(value) AS value FROM line GROUP BY ALL),
+         CASE WHEN value < 0 THEN 0 ELSE CAST(trunc(floor(value * 1000) / 1000 * 1000) AS BIGINT) END AS value FROM events
+), one AS (SELECT time, component, sensor, arg_max(value, event_id) AS value FROM line GROUP BY ALL),
 ids AS (SELECT component, sensor, row_number() OVER (ORDER BY component, sensor) AS sensor_id FROM (SELECT DISTINCT component, sensor FROM line))
-SELECT time, sensor_id FROM one JOIN ids USING (component, sensor)"""
+SELECT time, sensor_id, value FROM one JOIN ids USING (component, sensor)"""
 
 
 @query(SENSOR_SQL)
 def sensor_log(spark, sf_dir):
-    """Events as text, parsed, encoded, appended, committed and read: the keys (of one key two lines may tie)."""
-    return sensor_rows(spark, sf_dir).select("time", "sensor_id")
+    """Events as text, parsed, encoded, appended, committed and read; of one key the line of the largest event_id wins."""
+    return sensor_rows(spark, sf_dir).select("time", "sensor_id", "value")
 
 
 def sensor_rows(spark, sf_dir) -> DataFrame:

@@ -13,6 +13,8 @@ from gridloom.database import ArrayDatabase
 from gridloom.schema import ArraySchema
 from gridloom.sources.sensor_text import good, parse, read_lines, rejected
 
+#: Lines after which a load of files flushes a segment.
+FLUSH_ROWS = 10_000_000
 KEYS = ["component", "sensor", "kind"]
 SCHEMA = ArraySchema([("time", 86_400_000), ("sensor_id", 100)], ["value"])
 
@@ -29,9 +31,10 @@ class SensorLog:
             return dictionary.empty(self.spark, KEYS)
         return dictionary.from_json(self.spark, self.db.store.read_text(self.db.commits[last]["dictionary"]), KEYS)
 
-    def load_lines(self, lines: DataFrame, seq: str | None = None) -> DataFrame:
+    def load_lines(self, lines: DataFrame, seq: str | None = None, flush_rows: int | None = None) -> DataFrame:
         """Parse, encode, append and commit; the rejected lines. Of one time and sensor the line with the largest
-        ``seq`` wins, without it the last line; the order is taken before any join."""
+        ``seq`` wins, without it the last line; the order is taken before any join. With ``flush_rows`` a
+        longer load is flushed in segments of about so many lines, parted by key, so that the order holds."""
         order = F.monotonically_increasing_id() if seq is None else F.col(seq).cast("long")
         parsed = parse(lines.select("line", order.alias("_line")), "_line")
         rows, known = good(parsed), self.sensors()
@@ -40,8 +43,14 @@ class SensorLog:
         entries = now.count()
         coded = dictionary.encode(rows, now, KEYS, "sensor_id", entries).select(F.col("time_ms").alias("time"), "sensor_id", F.col("value_milli").alias("value"), "_line")
         with self.db.transaction() as txn:
-            txn.append(coded, seq="_line")
-            txn.flush()
+            if flush_rows:
+                coded = coded.persist()
+            parts = max(1, -(-coded.count() // flush_rows)) if flush_rows else 1
+            for part in range(parts):
+                txn.append(coded.where(F.pmod(F.xxhash64("time", "sensor_id"), F.lit(parts)) == part) if parts > 1 else coded, seq="_line")
+                txn.flush()
+            if flush_rows:
+                coded.unpersist()
             if txn.txn is not None and entries > had:
                 name = f"sensors-{txn.txn:08x}.json"
                 self.db.store.write_new(dictionary.to_json(now), name)
@@ -50,8 +59,8 @@ class SensorLog:
         now.unpersist()
         return rejected(parsed)
 
-    def load(self, patterns: list[str]) -> DataFrame:
-        return self.load_lines(read_lines(self.spark, patterns))
+    def load(self, patterns: list[str], flush_rows: int | None = FLUSH_ROWS) -> DataFrame:
+        return self.load_lines(read_lines(self.spark, patterns), flush_rows=flush_rows)
 
     def rows(self) -> DataFrame:
         with self.db.transaction() as txn:

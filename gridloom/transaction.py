@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.errors import DataError, EngineError, SchemaError
+from gridloom.operators.blocks import chunks, with_chunks
 from gridloom.operators.versioning import SEGMENTS, check_segment, latest
 
 #: The transaction id that a transaction's own unsaved rows show: a fixed value.
@@ -21,6 +23,7 @@ class Transaction:
             raise EngineError("the database has an open transaction")
         self.db, self.schema, self.horizon = db, db.schema, horizon
         self.txn: int | None = None
+        self.run = uuid.uuid4().hex  # names this writer's files
         self.segments: list[int] = []
         self.unsaved: list[DataFrame] = []
         self.extra: dict = {}
@@ -56,49 +59,59 @@ class Transaction:
 
     def _add(self, df: DataFrame) -> None:
         self._check_open()
-        self.unsaved.append(df.withColumn("_batch", F.lit(len(self.unsaved))))
+        self.unsaved.append(df)
 
     def _own(self) -> DataFrame:
-        """Unsaved rows, one for each key; values that can't be stored fail the query."""
-        rows = reduce(DataFrame.unionByName, self.unsaved)
+        """Unsaved rows, one for each key; values that can't be stored fail the query. Each batch gives its latest rows by
+        their order, a long, and these give theirs by batch, so both are hash aggregates."""
+        dims, vals, first = self.schema.dims, self.schema.vals, self.schema.dims[0]
         bad = reduce(lambda a, b: a | b, (F.col(n).isNull() | (F.col(n) < 0) for n in self.schema.names))
         error = F.raise_error(F.lit("fields are whole numbers from 0 to 2^63 - 1")).cast("long")
-        first = self.schema.dims[0]
-        rows = rows.withColumn(first, F.when(bad, error).otherwise(F.col(first))).withColumn("_order", F.struct("_batch", "_seq"))
-        return latest(rows, self.schema.dims, self.schema.vals, "_order")
+        one = [latest(df.withColumn(first, F.when(bad, error).otherwise(F.col(first))), dims, vals, "_seq") for df in self.unsaved]
+        if len(one) == 1:
+            return one[0]
+        return latest(reduce(DataFrame.unionByName, (df.withColumn("_batch", F.lit(i)) for i, df in enumerate(one))), dims, vals, "_batch")
 
     def flush(self) -> None:
         """Write the unsaved rows as a new segment; nothing if there are none."""
         self._check_open()
         if not self.unsaved:
             return
-        own = self._own()
-        if reduce(DataFrame.unionByName, self.unsaved).isEmpty():
-            self.unsaved = []
-            return
-        if self.txn is None:
+        fresh = self.txn is None
+        if fresh:
             self.txn = self.db.allocate()
         seg = len(self.segments)
         check_segment(seg)
+        where, names = self.db.store.segment(self.txn, self.run, seg), chunks(self.schema)
         try:
+            # A chunk may hold most of the rows: rebalancing splits its partition where repartitioning could not.
             (
-                own.repartition(*self.schema.chunk_columns())
+                with_chunks(self._own(), self.schema)
+                .hint("rebalance", *map(F.col, names))
                 .sortWithinPartitions(*self.schema.dims)
+                .drop(*names)
                 .write.option("compression", "zstd")
-                .parquet(self.db.store.segment(self.txn, seg))
+                .parquet(where)
             )
         except Exception as e:
             if "fields are whole numbers" in str(e):
                 raise DataError("fields are whole numbers from 0 to 2^63 - 1") from e
             raise
-        self.segments.append(seg)
         self.unsaved = []
+        if not self.db.spark.read.schema(self.schema.struct_type()).parquet(where).isEmpty():
+            self.segments.append(seg)
+            return
+        self.db.store.delete("data", f"txn={self.txn}", f"run={self.run}", f"seg={seg}")
+        if fresh:  # no rows, no id
+            self.db.store.discard(self.txn, self.run)
+            self.txn = None
+            self.db.next_txn -= 1
 
     def commit(self, compacted: bool = False) -> None:
         """Flush and publish all segments at once. Without rows nothing is written and no id is used."""
         self.flush()
         if self.txn is not None:
-            manifest = {"segments": self.segments} | ({"compacted": True} if compacted else {}) | self.extra
+            manifest = {"run": self.run, "segments": self.segments} | ({"compacted": True} if compacted else {}) | self.extra
             self.db.store.commit(self.txn, manifest)
             self.db.commits[self.txn] = {"txn": self.txn} | manifest
         self._close()
@@ -106,7 +119,7 @@ class Transaction:
     def rollback(self) -> None:
         self._check_open()
         if self.txn is not None:
-            self.db.store.delete("data", f"txn={self.txn}")
+            self.db.store.discard(self.txn, self.run)
         self._close()
 
     def _close(self) -> None:
@@ -128,7 +141,7 @@ class Transaction:
     def versions(self) -> DataFrame:
         """All visible rows with their ``_version``: committed ones, own segments and unsaved ones."""
         self._check_open()
-        own = [(self.txn, s) for s in self.segments]
+        own = [(self.txn, self.run, s) for s in self.segments]
         out = self.db.read(self.db.visible(self.horizon) + own)
         if own:  # own rows are newer than any committed, whatever the horizon
             out = out.withColumn("_version", F.when(F.col("_version") >= self.txn * SEGMENTS, F.col("_version") % SEGMENTS + OWN_TXN * SEGMENTS).otherwise(F.col("_version")))

@@ -73,8 +73,10 @@ def test_reopen_removes_orphans_and_counts_their_ids(spark, place):
     base = place.removeprefix("file://")
     with open(f"{base}/_commits/00000005.json", "w") as f:
         f.write('{"txn": 5, "seg')
-    again = ArrayDatabase.open(spark, place)
-    assert sorted(os.listdir(f"{base}/data")) == ["txn=1"] and again.next_txn == 6
+    again = ArrayDatabase.open(spark, place)  # within the lease nothing goes, and no id is used again
+    assert sorted(os.listdir(f"{base}/data")) == ["txn=1", "txn=2"] and again.next_txn == 6
+    again = ArrayDatabase.open(spark, place, lease_s=0)
+    assert sorted(os.listdir(f"{base}/data")) == ["txn=1"] and [x for x in os.listdir(f"{base}/_commits") if x[0] != "."] == ["00000001.json"] and again.next_txn == 6
     with again.transaction() as t:
         assert rows(t) == [(1, 1, 1)]
 
@@ -102,6 +104,66 @@ def test_two_writers_of_one_id(spark, place):
                 txn.commit()
 
 
+def test_losing_writer_leaves_the_winners_rows(spark, place):
+    a = ArrayDatabase.create(spark, place, XY)
+    b = ArrayDatabase.open(spark, place)
+    with a.transaction() as txn:
+        txn.add_row((1, 1, 1))
+        txn.commit()
+    with pytest.raises(IoError), b.transaction() as txn:
+        txn.add_row((2, 2, 2))
+        txn.flush()
+        assert rows(txn) == [(2, 2, 2)]
+        txn.commit()
+    assert len(os.listdir(place.removeprefix("file://") + "/data/txn=1")) == 1
+    for db in (a, ArrayDatabase.open(spark, place, lease_s=0)):
+        with db.transaction() as txn:
+            assert rows(txn) == [(1, 1, 1)]
+
+
+def test_open_leaves_a_live_writers_staged_rows(spark, place):
+    a = ArrayDatabase.create(spark, place, XY)
+    with a.transaction() as txn:
+        txn.add_row((1, 1, 1))
+        txn.flush()
+        b = ArrayDatabase.open(spark, place)
+        assert b.next_txn == 2
+        with b.transaction() as other:
+            other.add_row((2, 2, 2))
+            other.commit()
+        txn.commit()
+    with ArrayDatabase.open(spark, place, lease_s=0).transaction() as txn:
+        assert rows(txn) == [(1, 1, 1), (2, 2, 2)]
+
+
+def test_cached_snapshots(spark, place):
+    db = ArrayDatabase.create(spark, place, XY)
+    db.cache()
+    for v in (1, 2):
+        with db.transaction() as txn:
+            txn.add_row((v, 0, v))
+            txn.commit()
+        with db.transaction() as txn:
+            assert [r[0] for r in rows(txn)] == list(range(1, v + 1)) and txn.count() == v
+    assert len(db.kept) == 2 and all(x.is_cached for x in db.kept.values())
+    db.cache(False)
+    with db.transaction() as txn:
+        assert db.kept is None and txn.count() == 2
+
+
+def test_flush_is_spread_over_a_hot_chunk(spark, place):
+    db = ArrayDatabase.create(spark, place, ArraySchema([("x", 10**9)], ["v"]))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        with db.transaction() as txn:
+            txn.append(spark.range(200_000).selectExpr("id AS x", "id AS v"))
+            txn.commit()
+            assert len(spark.read.parquet(db.store.segment(1, txn.run, 0)).inputFiles()) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+
+
 def test_dimensions_and_values(spark, tmp_path):
     one = ArrayDatabase.create(spark, f"file://{tmp_path}/one", ArraySchema([("t", 7)], ["a", "b", "c"]))
     with one.transaction() as txn:

@@ -108,3 +108,24 @@ def test_stream_batches_count_once(spark, tmp_path):
     assert len(db.commits) == 2
     with db.transaction() as txn:
         assert [tuple(r) for r in txn.query().collect()] == [(1, 2), (2, 5), (3, 5)]
+
+
+def test_load_flushes_segments_and_the_last_line_still_wins(spark, tmp_path):
+    lines = [f"01/01/2020 01:00:00 a.m.\tc{i % 40}\ts\tk\t{i}" for i in range(400)]
+    (tmp_path / "a.log").write_text("\n".join(lines))
+    log = SensorLog(spark, f"file://{tmp_path}/db")
+    log.load([f"file://{tmp_path}/a.log"], flush_rows=150)
+    assert log.db.commits[1]["segments"] == [0, 1, 2]
+    names = {r.id: int(r.component[1:]) for r in log.sensors().collect()}
+    assert {names[r.sensor_id]: r.value for r in log.rows().collect()} == {c: (360 + c) * 1000 for c in range(40)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridloom.sensorlog import main
+
+    (tmp_path / "a.log").write_text("01/01/2020 01:00:00 a.m.\tb\ts\tk\t1.5\nbroken\n01/01/2020 01:00:00 a.m.\ta\ts\tk\t\n")
+    place = f"file://{tmp_path}/db"
+    for command, files, said in (("load", [f"file://{tmp_path}/a.log"], ["not parsed: 'broken'", "loaded in"]), ("list", [], ["1577840400000 1 0", "1577840400000 2 1500", "2 rows in"]), ("count", [], ["2 rows in"])):
+        main([place, command, *files])
+        out = capsys.readouterr().out.strip().split("\n")
+        assert [o.startswith(s) for o, s in zip(out, said, strict=True)] == [True] * len(said), out
