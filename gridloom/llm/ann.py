@@ -3,7 +3,8 @@
 Rows are dealt to shards of about SHARD_ROWS by a hash of vec_id (and by dimension). In a shard equal vectors
 become one node that keeps all their ids, so a vector that is a third of all rows costs one node a shard. A graph
 is stored as flat arrays: vectors, ids with offsets, and for each level the nodes on it and a matrix of
-neighbours, padded with -1. Queries visit every shard in blocks; the shards' results are merged and ranked.
+neighbours, padded with -1. Each graph is loaded once and all queries stream past it; the shards' results are merged
+and ranked.
 
 Every row is indexed; no sample is fitted. Distances of results are computed again in double precision on the
 original vectors. Defined results: vectors that are null, empty, zero or hold null or non-finite components take
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import table, written
 
-SHARD_ROWS, QUERY_ROWS = 2048, 256
+SHARD_ROWS = 4096
 LINKS, BUILD, SEARCH = 12, 64, 96  # neighbours a node asks for (twice that on level 0), candidates in building and in search
 SEED = 5
 
@@ -174,53 +175,65 @@ def stored_graph(row: dict):
     return g, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
 
 
-def search_shard(row: dict, queries, query_ids, k: int, most: int = SEARCH):
-    """(query_id, vec_id, score) of the k nearest in one shard, for each query."""
-    import numpy as np
+class Shard:
+    """A shard's graph, loaded once and asked many times."""
+
+    def __init__(self, row: dict):
+        import numpy as np
+
+        self.graph, self.ids, self.ends = stored_graph(row)
+        self.begins = np.concatenate([[0], self.ends[:-1]])
+        self.x = self.graph.x.astype(np.float64)
 
-    graph, ids, ends = stored_graph(row)
-    begins = np.concatenate([[0], ends[:-1]])
-    x = graph.x.astype(np.float64)
-    out = []
-    for q, own in zip(queries, query_ids, strict=True):
-        nodes = np.array(graph.search(q.astype(np.float32), most), int)
-        reached = int((ends[nodes] - begins[nodes]).sum())
-        if reached < min(k + 1, len(ids)):  # a part of the graph that can't be reached
-            nodes = np.arange(len(x))
-        scores = np.sqrt(((x[nodes] - q.astype(np.float64)) ** 2).sum(1))
-        found = []
+    def search(self, q, own: int, k: int, most: int = SEARCH) -> list[tuple[float, int]]:
+        """(score, vec_id) of the k nearest but ``own``."""
+        import numpy as np
+
+        nodes = np.array(self.graph.search(q.astype(np.float32), most), int)
+        reached = int((self.ends[nodes] - self.begins[nodes]).sum())
+        if reached < min(k + 1, len(self.ids)):  # a part of the graph that can't be reached
+            nodes = np.arange(len(self.x))
+        scores = np.sqrt(((self.x[nodes] - q.astype(np.float64)) ** 2).sum(1))
+        found: list[tuple[float, int]] = []
         for j in np.lexsort([nodes, scores]):
             if len(found) >= k and scores[j] > found[k - 1][0]:
                 break
-            found += [(scores[j], v) for v in ids[begins[nodes[j]] : min(ends[nodes[j]], begins[nodes[j]] + k + 1)].tolist() if v != own]
-        out += [(own, v, float(s)) for s, v in sorted(found)[:k]]
-    return out
+            begin = self.begins[nodes[j]]
+            found += [(float(scores[j]), v) for v in self.ids[begin : min(self.ends[nodes[j]], begin + k + 1)].tolist() if v != own]
+        return sorted(found)[:k]
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = 10, most: int = SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score. ``queries``: vec_id and vector."""
-    shards = index.select("shard", "dim")
-    # The queries are packed in blocks; each block goes to each shard of its dimension (a shard list is short: rows / SHARD_ROWS).
-    blocks = (
-        queries.select("vec_id", "vector", F.size("vector").alias("dim"))
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // QUERY_ROWS)))))
-        .groupBy("dim", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("vec_id", "vector"))).alias("queries"))
-    )
-    pairs = blocks.join(shards, "dim").join(index, ["shard", "dim"])
+    """query_id, rank, vec_id, score. ``queries``: vec_id and vector.
+
+    Each graph moves once, to the task of its shard, and is followed there by the queries, which stream past it; so what
+    moves is the index and, for each shard, the queries' vectors.
+    """
+    shards = index.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asked = queries.select(every, F.size("vector").alias("dim"), F.lit(1).alias("kind"), "vec_id", "vector")
+    both = index.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    names = ["shard", "dim", "kind", "entry", "vectors", "ids", "id_ends", "neighbours", "counts"]
+    in_turn = both.repartition("shard", "dim").sortWithinPartitions("shard", "dim", "kind").select(*names, "vec_id", "vector")
 
     def search(batches):
         import numpy as np
         import pyarrow as pa
 
+        here, shard = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                wanted = row["queries"]
-                got = search_shard(row, [np.array(w["vector"], np.float32) for w in wanted], [w["vec_id"] for w in wanted], k, most)
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    found = pairs.repartition("shard", "block").mapInArrow(search, "query_id long, vec_id long, score double")
+            got: list[tuple] = []
+            places = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            ids = batch.column(9).to_pylist()
+            for i, (number, dim, kind) in enumerate(places):
+                if kind == 0:
+                    here, shard = (number, dim), Shard(dict(zip(names, (batch.column(c)[i].as_py() for c in range(len(names))), strict=True)))
+                elif here == (number, dim):  # else no row of that dimension is in the shard
+                    q = np.array(batch.column(10)[i].as_py(), np.float32)
+                    got += [(ids[i], v, s) for s, v in shard.search(q, ids[i], k, most)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    found = in_turn.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
