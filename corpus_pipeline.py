@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's documents. The last stage returns each document's token ids instead of the document's columns.
+
+Defined results: a null text counts as empty and goes through the filters as such; the mixture takes no document
+without words, so it ends there. Of rows that are equal in doc_id and text one stays; rows that share a doc_id, or
+have none, are documents of their own and none is dropped for another's text. Without labels nothing is rejected.
+An empty table gives an empty result. Further columns are kept to the end.
 """
 
 from __future__ import annotations
