@@ -6,7 +6,7 @@ walks on along its cycle. The permuted number p gives shard p mod s and slot p d
 row at most and any row's place can be computed from its number alone.
 
 Defined results: a null text has no bytes (size 1, crc of no bytes); a null doc_id sorts first; rows equal in
-doc_id and text are interchangeable; an empty table gives an empty result; further columns are ignored.
+doc_id and text are interchangeable; rows are permuted one by one, so equal texts are not kept together; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

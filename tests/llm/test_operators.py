@@ -434,6 +434,10 @@ def test_neighbours(spark):
         if 100 <= q < 400:
             assert [r.vec_id for r in mine] == best.tolist()
     assert hits >= 81
+    two = [(i, [float(i), 1.0], 0) for i in range(5)] + [(i, [float(i), 1.0, 2.0], 0) for i in range(5, 9)]  # each finds its own dimension
+    mixed = usable(spark.createDataFrame(two, "vec_id long, embedding array<float>, label int"))
+    got = nearest(build_index(mixed, 3), mixed).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(a[0], b[0]) for a in two for b in two if a != b and len(a[1]) == len(b[1])}
     few = part.where("vec_id < 4")
     assert nearest(build_index(few), few.where("vec_id = 0")).count() == 3
     assert nearest(build_index(part.limit(0)), part.limit(0)).count() == 0
@@ -458,6 +462,14 @@ def test_chat_format(spark):
     for record in ({"prompt": "hi", "response": "yo"}, {"instruction": "hi", "output": "yo", "input": None}, {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]},
                    {"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}, {"data": {"prompt": {"text": "hi"}, "reply": {"text": "yo"}}}):
         assert canonical_turns(record) == want
+        more = record | {"id": 7, "meta": {"tags": ["x"]}}
+        if "messages" in more:
+            more["messages"] = [m | {"name": "n"} for m in more["messages"]]
+        assert canonical_turns(more) == want
+    parts = [{"role": "user", "content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]}, {"role": "assistant", "content": [{"type": "text", "text": "yo"}]}]
+    assert canonical_turns({"messages": parts}) == want and canonical_turns({"system": "s", "messages": parts}) == [("system", "s"), *want]
+    assert canonical_turns({"instruction": "hi", "input": "", "output": "yo"}) == want and canonical_turns({"instruction": "hi", "input": "there", "output": "yo"})[0] == ("user", "hi\n\nthere")
+    assert canonical_turns({}) == canonical_turns({"id": 1, "messages": []}) == []
     with pytest.raises(UnknownLayout):
         canonical_turns({"a": 1})
     rows = spark.createDataFrame([(1, 2, "assistant", None), (1, 1, "user", "q"), (1, None, None, "s"), (1, 1, "user", "q"), (None, 0, "assistant", "é")], "conv_id long, turn long, role string, text string")
@@ -467,6 +479,37 @@ def test_chat_format(spark):
     assert found[None].loss_sha256 == sha("é")
 
 
+def test_op10_on_an_empty_table(spark, tmp_path):
+    from gridloom.llm.chat_format import op10_chat_format
+
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in op10_chat_format(spark, str(tmp_path)).collect()] == [(-1, 2, 34)]
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    import time
+
+    from gridloom.llm.warc import page_text
+
+    took = []
+    for n in (250_000, 2_000_000):
+        page = '<p title="' + ">" * n + '" x="a>b">seen<b "' + ">" * n
+        began = time.process_time()
+        found = page_text(page)
+        took.append(time.process_time() - began)
+        assert found[2].startswith("seen")
+    assert took[1] < 30 * max(took[0], 0.05), took
+    # Without any of the operator's own helpers: what a reader would expect of each page.
+    for page, text in (("<p>a</p><p>b", "a\nb"), ('a<i title="x>y">b</i>', "ab"), ("1 < 2 &lt; 3", "1 < 2 < 3"), ("a<!-- <p> -->b", "ab"), ("<style>p{}</style>z", "z"), ('<a "b>c', "c")):
+        assert page_text(page)[2] == text, page
+
+
+def test_foreign_row_headers_are_no_page_ids():
+    from gridloom.llm.warc import _page_id
+
+    assert [_page_id(x) for x in (None, "", "12", "-3", "x1", "9" * 19, "1" * 30)] == [None, None, 12, -3, None, None, None]
+
+
 def test_warc(spark, tmp_path):
     from gridloom.llm.warc import build_derivatives, digest, page_text, read_warc, write_responses
 
