@@ -1,16 +1,16 @@
 """Chat formatting with schema fingerprints.
 
 A record is JSON of any known layout (prompt and response, instruction and output, lists of messages, ...). Its
-nested field paths are hashed to a fingerprint, the fingerprint selects a declarative mapping, and the mapping
-gives canonical turns (role, text). Turns are rendered in a template whose control strings are escaped inside
+nested field paths, those that any mapping knows, are hashed to a fingerprint, the fingerprint selects a declarative
+mapping, and the mapping gives canonical turns (role, text); other fields (ids, names, types, ...) don't matter. Turns are rendered in a template whose control strings are escaped inside
 texts, reversibly, and the assistants' texts are marked by character spans (the loss mask).
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Escaping puts one more backslash into each
 ``<``, backslashes, ``|``; so no ``<|`` stands inside a text, and taking one backslash away gives the text back.
 In roles, backslash and line feed are escaped first.
 
-Defined results: null text or role counts as empty; fields that are null are not part of the layout; a layout
-without a mapping raises ``UnknownLayout`` with its paths, unless ``skip_unknown``, which gives a null result.
+Defined results: null text or role counts as empty; fields that are null are not part of the layout, nor are
+fields that no mapping knows; an empty part of a joined text leaves no blank line; a layout without a mapping raises ``UnknownLayout`` with its paths, unless ``skip_unknown``, which gives a null result.
 Turns of one conversation that tie in ``turn`` stand in order of role and text; a null turn is first; a null
 conv_id is one conversation; an empty table gives conversation -1 alone in op10 and nothing otherwise.
 """
@@ -34,6 +34,14 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 LAYOUTS = [
     {"paths": ["messages[].role", "messages[].content"], "each": "messages", "role": "role", "text": "content"},
     {"paths": ["messages[].role", "messages[].text"], "each": "messages", "role": "role", "text": "text"},
+    {"paths": ["messages[].role", "messages[].content[].text"], "each": "messages", "role": "role", "text": "content[].text"},
+    {"paths": ["system", "messages[].role", "messages[].content"], "turns": [("system", "system")], "each": "messages", "role": "role", "text": "content"},
+    {"paths": ["system", "messages[].role", "messages[].text"], "turns": [("system", "system")], "each": "messages", "role": "role", "text": "text"},
+    {"paths": ["system", "messages[].role", "messages[].content[].text"], "turns": [("system", "system")], "each": "messages", "role": "role", "text": "content[].text"},
+    {"paths": ["system", "prompt", "completion"], "turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")]},
+    {"paths": ["system", "question", "answer"], "turns": [("system", "system"), ("user", "question"), ("assistant", "answer")]},
+    {"paths": ["system", "instruction", "output"], "turns": [("system", "system"), ("user", "instruction"), ("assistant", "output")]},
+    {"paths": ["system", "instruction", "input", "output"], "turns": [("system", "system"), ("user", ("instruction", "input")), ("assistant", "output")]},
     {"paths": ["conversations[].from", "conversations[].value"], "each": "conversations", "role": "from", "text": "value"},
     {"paths": ["system", "conversations[].from", "conversations[].value"], "turns": [("system", "system")], "each": "conversations", "role": "from", "text": "value"},
     {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
@@ -66,21 +74,33 @@ def fingerprint(paths) -> str:
 MAPPINGS = {fingerprint(x["paths"]): x for x in LAYOUTS}
 
 
+def known_paths(paths: set[str], mappings: dict | None = None) -> set[str]:
+    return paths & set().union(*(x["paths"] for x in (mappings or MAPPINGS).values()))
+
+
 def _at(record, path: str) -> str:
-    for k in path.split("."):
-        record = (record or {}).get(k)
-    return "" if record is None else str(record)
+    """The text at a path; of a list (``[]``) the texts of its items one after another."""
+    here, _, below = path.partition(".")
+    found = (record or {}).get(here.removesuffix("[]"))
+    if here.endswith("[]"):
+        return "".join(_at(x, below) for x in found or ())
+    if below:
+        return _at(found, below)
+    return "" if found is None else str(found)
 
 
 def canonical_turns(record: dict, mappings: dict | None = None) -> list[tuple[str, str]]:
     """Turns of a record by the mapping that its fingerprint selects."""
-    paths = field_paths(record)
-    if not paths and not any(record.values()):
+    mappings = mappings or MAPPINGS
+    paths = known_paths(field_paths(record), mappings)
+    tops = {p.partition(".")[0].removesuffix("[]") for x in mappings.values() for p in x["paths"]}
+    if not paths and (not any(record.values()) or tops & set(record)):
         return []
-    rule = (mappings or MAPPINGS).get(fingerprint(paths))
+    rule = mappings.get(fingerprint(paths))
     if rule is None:
-        raise UnknownLayout(", ".join(sorted(paths)))
-    turns = [(role, "\n\n".join(_at(record, p) for p in ((path,) if isinstance(path, str) else path))) for role, path in rule.get("turns", ())]
+        raise UnknownLayout(", ".join(sorted(field_paths(record))))
+    parts = lambda path: [_at(record, p) for p in ((path,) if isinstance(path, str) else path)]
+    turns = [(role, "\n\n".join(filter(None, parts(path)))) for role, path in rule.get("turns", ())]
     for x in record[rule["each"]] if "each" in rule else ():
         role = _at(x, rule["role"])
         turns.append((ROLES.get(role, role), _at(x, rule["text"])))
@@ -143,7 +163,7 @@ def format_chats(df: DataFrame, record: str = "record", skip_unknown: bool = Fal
             prints, texts, spans = [], [], []
             for raw in batch.column(at).to_pylist():
                 value = json.loads(raw) if raw else {}
-                prints.append(fingerprint(field_paths(value)))
+                prints.append(fingerprint(known_paths(field_paths(value))))
                 try:
                     text, found = render(canonical_turns(value))
                 except UnknownLayout:
