@@ -92,6 +92,11 @@ def response(page_id, url: str | None, html: str | None) -> bytes:
     )
 
 
+def _page_id(row: str | None) -> int | None:
+    """A foreign header of that name may hold anything; what is no long is no page_id."""
+    return int(row) if row and re.fullmatch(r"-?[0-9]{1,19}", row) and -(1 << 63) <= int(row) < 1 << 63 else None
+
+
 def page_text(html: str) -> tuple[str, str, str, list[str]]:
     """Title, language, text and links of a page. One pass over its tags; markup is never parsed twice."""
     title, lang, links, out, hidden, in_title = "", "", [], [], "", False
@@ -120,10 +125,13 @@ def page_text(html: str) -> tuple[str, str, str, list[str]]:
         if not found and piece[:1] not in "!?":
             out.append("<" + piece)
             continue
-        tag, _, rest = piece.partition(">")
-        while rest and tag.count('"') % 2 and '"' in rest:  # a ">" inside quotes
-            more, _, rest = rest.partition(">")
-            tag += ">" + more
+        end, last = piece.find(">"), piece.rfind('"')
+        quotes = piece.count('"', 0, end) if end >= 0 else 0
+        while quotes % 2 and 0 <= end < last:  # a ">" inside quotes; each character is looked at once
+            start, end = end + 1, piece.find(">", end + 1)
+            end = end if end >= 0 else len(piece)
+            quotes += piece.count('"', start, end)
+        tag, rest = (piece[:end], piece[end + 1 :]) if end >= 0 else (piece, "")
         name = found[1].lower() if found else ""
         opening = not tag.startswith("/")
         if opening and name in HIDDEN and not tag.endswith("/"):
@@ -247,7 +255,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                 with open_file(source) as stream:
                     for h, block in read_records(stream):
                         row = h.get(ROW.lower())
-                        rows.append((row and int(row), *(h.get(k) for k in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-source-payload-digest", "warc-block-digest", "content-type")), block))
+                        rows.append((_page_id(row), *(h.get(k) for k in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-source-payload-digest", "warc-block-digest", "content-type")), block))
                         if len(rows) == 1000:
                             yield _batch(pa, rows, names)
                             rows = []
