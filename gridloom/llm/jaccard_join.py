@@ -16,10 +16,10 @@ share by chance make an order coarser, never a result wrong.
 Skew: documents with equal sets are one class, named by 128 bits, and enter once. The candidates are taken in three
 rounds. In the first two each class is compared with the hubs it meets only (each token has one hub, the most central
 set that holds it), so a group of near copies costs about as many comparisons as it has members, not its square. In
-the third, all pairs that share a prefix token at places that leave room for the overlap they need, and that are not
-yet in one component, are compared; since links inside a component add nothing to it, no component is missed. What
-joins with hot keys read is written before, so that their partitions can be split. The result is the components;
-pairs inside a component are not all verified.
+the third, pairs that share a prefix token at places that leave room for the overlap they need, and that are not yet in
+one component, are compared (``within_reach`` has which sets of a token meet); since links inside a component add
+nothing to it, no component is missed. What joins with hot keys read is written before, so that their partitions can
+be split. The result is the components; pairs inside a component are not all verified. ``jaccard_links`` verifies all pairs.
 
 Defined results: A-Z is lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one shingle;
 a text without words has no shingles and is linked with nothing; a null doc_id is no member's name, but its text
@@ -29,6 +29,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ from gridloom.llm.components import components
 SIEVE = 1 << 20
 
 
+#: The first token that two sets share has no more shared tokens after it than the shorter rest holds, and that must do
+#: for the overlap they need.
+ENOUGH = f"least(rest_a, rest_b) * {NUMERATOR + DENOMINATOR} >= (n_a + n_b) * {NUMERATOR}"
+
+
 def linked(a, b) -> bool:
     import numpy as np
 
@@ -87,6 +94,24 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def within_reach(members: DataFrame) -> DataFrame:
+    """Pairs (a, b: classes) of ``members`` (key, cls, n, rest, component) that share a key, lie in different components
+    and have places of that key that leave room for the overlap they need; once each.
+
+    The larger set, a, has at most 5/4 as many tokens as the smaller, b; and b has 8/9 of its tokens or more from that
+    place on, as the overlap is at least 4/9 of both sizes. So of a key's sets only such meet, by bands of sizes: two sets
+    that hold a common passage and a good deal else each are no pair.
+    """
+    band = lambda n: F.floor(F.log(n) / math.log(1.25))  # noqa: E731  (it never falls as n grows)
+    a, b = (members.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "rest", "component"))) for x in "ab")
+    a = a.withColumn("band", band(F.col("n_a")))
+    b = b.where(F.col("rest_b") * (NUMERATOR + DENOMINATOR) >= F.col("n_b") * 2 * NUMERATOR)
+    b = b.withColumn("band", F.explode(F.sequence(band(F.col("n_b")), band(F.floor(F.col("n_b") * DENOMINATOR / NUMERATOR)))))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
+    pairs = a.join(b, ["key", "band"]).where(larger & (F.col("component_a") != F.col("component_b"))).where(ENOUGH)
+    return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+
 def indexed_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, n, cls, check), names (cls, check, cid, doc_id: the least of each class) and the classes
     that can have links, with their prefixes (see ``prefixes``)."""
@@ -103,23 +128,41 @@ def indexed_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, names, classes
 
 
+def meeting(classes: DataFrame) -> DataFrame:
+    """key, cls, n, place: the prefix tokens, under the first order, that two classes or more hold."""
+    keys = classes.select("cid", "n", "singles", F.posexplode("k1").alias("at", "key")).select("key", F.col("cid").alias("cls"), "n", (F.col("singles") + F.col("at")).alias("place"))
+    met = written(keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key"), "jaccard-met")
+    return written(keys.join(met, "key"), "jaccard-members")
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, as pairs between classes of equal sets, and what is in the classes.
+
+    (a, b): pairs of classes that reach the threshold, once each, a < b; and (doc_id, text_hash, n_shingles, class): a row
+    for each row of ``docs``, with a null class for a text without words. All members of a class are linked with each
+    other and with those of the classes theirs is linked with. In a large group of near copies that differ all pairs are
+    links, so their number can grow with its square; ``jaccard_components`` avoids that.
+    """
+    rows, names, classes = indexed_classes(docs)
+    members = meeting(classes).withColumn("rest", F.col("n") - F.col("place")).withColumn("component", F.col("cls"))
+    pairs = written(agreeing(written(within_reach(members), "jaccard-reach"), classes), "jaccard-agreeing")
+    links = compared(pairs, classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    of = rows.join(names.select("cls", "check", F.col("cid").alias("class")), ["cls", "check"], "left")
+    return written(links, "jaccard-links"), written(of.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class"), "jaccard-of")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, component and text_hash for each row of ``docs``; component is null for a text without words."""
     rows, names, classes = indexed_classes(docs)
-    keys = classes.select("cid", "n", "singles", F.posexplode("k1").alias("at", "key")).select("key", F.col("cid").alias("cls"), "n", (F.col("singles") + F.col("at")).alias("place"))
-    met = written(keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key"), "jaccard-met")
-    members = written(keys.join(met, "key"), "jaccard-members")
+    members = meeting(classes)
 
     # The more of a set's prefix others hold too, the more central it is: the original among its altered copies.
     most = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
     central = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).select("cls", (-F.round(F.col("held") * 1000 / most)).cast("int").alias("outer"))
     hubs = members.join(central, "cls").groupBy("key").agg(F.min(F.struct("outer", "cls", "n", "place")).alias("hub"))
     hubs = written(hubs.select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_b"), (F.col("hub.n") - F.col("hub.place")).alias("rest_b")), "jaccard-hubs")
-    # The first token that two sets share has no more shared tokens after it than the shorter rest holds, and that
-    # must do for the overlap they need.
-    enough = F.least("rest_a", "rest_b") * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
     met_hubs = members.select("key", "cls", F.col("n").alias("n_a"), (F.col("n") - F.col("place")).alias("rest_a")).join(hubs, "key")
-    votes = written(met_hubs.where((F.col("cls") != F.col("hub")) & enough).groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("votes")), "jaccard-votes")
+    votes = written(met_hubs.where(F.col("cls") != F.col("hub")).where(ENOUGH).groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("votes")), "jaccard-votes")
 
     # First each class with the hub it meets most, then with its other hubs, then with all it meets, each time only
     # across components.
@@ -138,8 +181,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             placed = written(members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "jaccard-placed")
             open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             left = written(placed.join(written(open_keys, "jaccard-open-keys"), "key"), "jaccard-open")
-            a, b = (left.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("place")).alias(f"rest_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-            pairs = a.join(b, "key").where((F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
+            pairs = within_reach(left.withColumn("rest", F.col("n") - F.col("place")))
         either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = written(pairs.join(either, ["a", "b"], "left_anti"), f"jaccard-{step}")
         known = known.unionByName(pairs)

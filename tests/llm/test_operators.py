@@ -303,6 +303,40 @@ def test_jaccard_join(spark, docs, none, bits, monkeypatch):
     assert jaccard_components(none).count() == 0
 
 
+def test_jaccard_links(spark):
+    from gridloom.llm.jaccard_join import jaccard_links, within_reach
+
+    draw = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(r[0], r[1]) for r in ROWS]
+    for n in range(90):  # one passage with more or fewer words of their own, and altered copies
+        own = [f"o{n}x{i}" for i in range(draw.integers(0, 14))]
+        text = passage + own if n % 3 else (rows[draw.integers(0, len(rows))][1] or "").split() or ["w"]
+        if n % 3 == 0:
+            text[draw.integers(len(text))] = f"n{draw.integers(9)}"
+        rows.append((100 + n, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links, of = (x.collect() for x in jaccard_links(docs))
+    sets = [shingles(t) for _, t in rows]
+    assert sorted((r.doc_id, r.n_shingles) for r in of if r.doc_id is not None) == sorted((i, len(s)) for (i, _), s in zip(rows, sets) if i is not None)
+    found: dict = {}
+    for r in of:
+        found.setdefault(r["class"], set()).add(r.doc_id)
+    alike = lambda s, t: s and t and 100 * len(s & t) >= 80 * len(s | t)
+    wanted = {(rows[i][0], rows[j][0]) for j in range(len(rows)) for i in range(len(rows)) if rows[i][0] is not None and rows[j][0] is not None and rows[i][0] != rows[j][0] and alike(sets[i], sets[j])}
+    pairs = {(i, j) for r in links for x, y in ((r.a, r.b), (r.b, r.a)) for i in found[x] for j in found[y]} | {(i, j) for c, ids in found.items() if c is not None for i in ids for j in ids if i != j}
+    pairs = {p for p in pairs if None not in p}
+    assert (pairs - wanted, wanted - pairs) == (set(), set())
+    assert len(wanted) > 200
+    assert len({(r.a, r.b) for r in links}) == len(links) and all(r.a < r.b for r in links)
+    assert {r["class"] for r in of if not r.n_shingles} <= {None}
+    # Of a token's sets just those meet that have room for the overlap: the same pairs as from a look at all of them.
+    some = [(k, c, n, n - int(draw.integers(0, n // 5 + 1)), c % 50) for c, n in enumerate(draw.integers(1, 60, 300).tolist()) for k in (c % 3, 3)]
+    got = {(r.a, r.b) for r in within_reach(spark.createDataFrame(some, "key long, cls long, n int, rest int, component long")).collect()}
+    room = lambda x, y: x[0] == y[0] and x[4] != y[4] and min(x[3], y[3]) * 9 >= (x[2] + y[2]) * 4
+    assert {frozenset(p) for p in got} == {frozenset((x[1], y[1])) for x in some for y in some if x[1] < y[1] and room(x, y)} and len(got) == len({frozenset(p) for p in got})
+
+
 def test_jaccard_orders_cut_candidates_before_texts_move(spark):
     from gridloom.llm.jaccard_join import agreeing, indexed_classes
 
