@@ -17,7 +17,7 @@ Skew: documents with equal sets are one class, named by 128 bits, and enter once
 rounds. In the first two each class is compared with the hubs it meets only (each token has one hub, the most central
 set that holds it), so a group of near copies costs about as many comparisons as it has members, not its square. In
 the third, pairs that share a prefix token at places that leave room for the overlap they need, and that are not yet in
-one component, are compared (``within_reach`` has which sets of a token meet); since links inside a component add
+one component, are compared (``in_bands`` has which sets of a token meet); since links inside a component add
 nothing to it, no component is missed. What joins with hot keys read is written before, so that their partitions can
 be split. The result is the components; pairs inside a component are not all verified. ``jaccard_links`` verifies all pairs.
 
@@ -94,21 +94,38 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def within_reach(members: DataFrame) -> DataFrame:
-    """Pairs (a, b: classes) of ``members`` (key, cls, n, rest, component) that share a key, lie in different components
-    and have places of that key that leave room for the overlap they need; once each.
+def in_bands(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` as the larger set of a pair and as the smaller one, by key and ``meet``: what meets has both in common.
 
-    The larger set, a, has at most 5/4 as many tokens as the smaller, b; and b has 8/9 of its tokens or more from that
-    place on, as the overlap is at least 4/9 of both sizes. So of a key's sets only such meet, by bands of sizes: two sets
-    that hold a common passage and a good deal else each are no pair.
+    The larger set has at most 5/4 as many tokens as the smaller, and the smaller has 8/9 of its tokens or more from the
+    key's place on, as the overlap is at least 4/9 of both sizes. So of a key's sets only such meet, by bands of sizes:
+    two sets that hold a common passage and a good deal else each are no pair.
+
+    Of a key's band one component leads, the one with most sets there, and its sets meet only those that are not in it
+    (meet 1: a larger set leads, 2: a smaller one does, 0: neither). So a group of near copies in one component, beside
+    few sets that are not, costs its number times theirs and not its square; at most thrice as many sets meet as there
+    are pairs in different components.
     """
     band = lambda n: F.floor(F.log(n) / math.log(1.25))  # noqa: E731  (it never falls as n grows)
-    a, b = (members.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "rest", "component"))) for x in "ab")
+    a, b = (members.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "rest")), "component") for x in "ab")
     a = a.withColumn("band", band(F.col("n_a")))
     b = b.where(F.col("rest_b") * (NUMERATOR + DENOMINATOR) >= F.col("n_b") * 2 * NUMERATOR)
     b = b.withColumn("band", F.explode(F.sequence(band(F.col("n_b")), band(F.floor(F.col("n_b") * DENOMINATOR / NUMERATOR)))))
+    sets = a.select("key", "band", "component").unionByName(b.select("key", "band", "component"))
+    sets = sets.groupBy("key", "band", "component").agg(F.count(F.lit(1)).alias("sets"))
+    leads = sets.groupBy("key", "band").agg(F.max(F.struct("sets", "component"))["component"].alias("lead"), F.count(F.lit(1)).alias("components"))
+    leads = written(leads.where("components > 1").drop("components"), "jaccard-leads")
+    meet = lambda own, others: F.explode(F.when(F.col("component") == F.col("lead"), F.array(F.lit(own))).otherwise(F.array(F.lit(0), F.lit(others))))
+    a, b = (side.join(leads, ["key", "band"]).withColumn("meet", meet(*codes)).drop("lead") for side, codes in ((a, (1, 2)), (b, (2, 1))))
+    return a.withColumnRenamed("component", "component_a"), b.withColumnRenamed("component", "component_b")
+
+
+def within_reach(members: DataFrame) -> DataFrame:
+    """Pairs (a, b: classes) of ``members`` (key, cls, n, rest, component) that share a key, lie in different components
+    and have places of that key that leave room for the overlap they need; once each."""
+    a, b = in_bands(members)
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
-    pairs = a.join(b, ["key", "band"]).where(larger & (F.col("component_a") != F.col("component_b"))).where(ENOUGH)
+    pairs = a.join(b, ["key", "band", "meet"]).where(larger & (F.col("component_a") != F.col("component_b"))).where(ENOUGH)
     return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 

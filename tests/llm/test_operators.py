@@ -337,6 +337,21 @@ def test_jaccard_links(spark):
     assert {frozenset(p) for p in got} == {frozenset((x[1], y[1])) for x in some for y in some if x[1] < y[1] and room(x, y)} and len(got) == len({frozenset(p) for p in got})
 
 
+def test_jaccard_large_component_does_not_meet_itself(spark):
+    from gridloom.llm.jaccard_join import in_bands, within_reach
+
+    # One key with a component of 400 sets, one of 40 whose sets are larger, and 5 sets alone; and a key of one component.
+    some = [(1, c, 100 + c % 3, 100, 0) for c in range(400)] + [(1, 1000 + c, 300, 300, 1000) for c in range(40)]
+    some += [(1, 2000 + c, n, n, 2000 + c) for c, n in enumerate((100, 101, 102, 300, 301))] + [(2, c, 50, 50, 7) for c in range(300)]
+    members = spark.createDataFrame(some, "key long, cls long, n int, rest int, component long")
+    a, b = in_bands(members)
+    met = a.join(b, ["key", "band", "meet"]).count()
+    room = lambda x, y: x[0] == y[0] and x[4] != y[4] and min(x[3], y[3]) * 9 >= (x[2] + y[2]) * 4
+    wanted = {frozenset((x[1], y[1])) for x in some for y in some if x[1] < y[1] and room(x, y)}
+    assert {frozenset(r) for r in within_reach(members).collect()} == wanted and len(wanted) > 1000
+    assert met < 6 * len(wanted), (met, len(wanted))
+
+
 def test_jaccard_orders_cut_candidates_before_texts_move(spark):
     from gridloom.llm.jaccard_join import agreeing, indexed_classes
 
