@@ -411,6 +411,20 @@ def test_quality(spark, docs, none):
     assert resample(none, labels).count() == 0 and keep_good(docs, labels.where("quality = 1")).columns == docs.columns
 
 
+@pytest.mark.parametrize("partitions", ["1", "4", "50"])  # groups of tasks: one, one, three
+def test_cells_are_summed_over_all_tasks(spark, partitions):
+    from gridloom.llm._counts import summed_cells
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        count = lambda batch: np.bincount(batch.column(0).to_numpy() % 37, minlength=37)
+        assert summed_cells(spark.range(0, 1000, 1, 9), 37, count).tolist() == np.bincount(np.arange(1000) % 37).tolist()
+        assert not summed_cells(spark.range(0), 37, count).any()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_quality_equals_brute_force(spark):
     import math
 
