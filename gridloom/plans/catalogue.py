@@ -358,8 +358,7 @@ def time_parse(spark, sf_dir):
 
 @query("SELECT event_id, 'user' || (user_id % 10) AS component, event_type AS sensor, 'reading' AS kind, epoch_us(date_trunc('second', ts)) // 1000 AS time_ms FROM events")
 def tsv_parse(spark, sf_dir):
-    lines = event_lines(spark, sf_dir)
-    fields = split_fields(lines).join(lines, "line")
+    fields = split_fields(event_lines(spark, sf_dir), "event_id")
     return fields.select("event_id", "component", "sensor", "kind", time_millis(F.col("time")).alias("time_ms"))
 
 
