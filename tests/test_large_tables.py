@@ -31,3 +31,15 @@ def same_as_sql(spark, name, data):
 
 def test_equal_lines_of_several_events_stay_apart(spark, repeated):
     same_as_sql(spark, "tsv_parse", repeated)
+
+
+def test_parsed_fields_are_computed_once_a_row(spark):
+    """A filter on parsed fields moved below them and repeated the line's own expression hundreds of times."""
+    from pyspark.sql import functions as F
+
+    from gridloom.sources.sensor_text import good, parse
+
+    lines = spark.range(3).select("id", F.format_string("01/02/2020 01:00:00 a.m.\tc\ts\tk\t%d", "id").alias("line"))
+    rows = good(parse(lines, "id"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 1
+    assert sorted(r.value_milli for r in rows.collect()) == [0, 1000, 2000]
