@@ -23,11 +23,11 @@ def check_segment(segment: int) -> None:
 def latest(df: DataFrame, dims: list[str], values: list[str], version: str, keep_version: str | None = None) -> DataFrame:
     """One row for each key: the values of its largest version.
 
-    Versions must differ within a key. With a primitive version this is a hash aggregate with partial
-    aggregation, and filters on dimensions pass through it to the scan.
+    Rows are brought together by key and compared in key order: most keys are written once, so hash maps would
+    hold about all rows, in the tasks that read files as well. Filters on dimensions pass through to the scan.
     """
-    picked = [F.max_by(v, version).alias(v) for v in values]
-    return df.groupBy(*dims).agg(*picked, *([F.max(version).alias(keep_version)] if keep_version else []))
+    top = df.repartition(*map(F.col, dims)).groupBy(*dims).agg(F.max(F.struct(F.col(version).alias("_version"), *values)).alias("_top"))
+    return top.select(*dims, *(F.col(f"_top.{v}").alias(v) for v in values), *([F.col("_top._version").alias(keep_version)] if keep_version else []))
 
 
 def scan_order(df: DataFrame, dims: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import dictionary
@@ -33,15 +33,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def database(spark: SparkSession, schema: ArraySchema) -> ArrayDatabase:
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path that all executors share."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         import uuid
 
-        return ArrayDatabase.create(spark, f"{shared.rstrip('/')}/array-{uuid.uuid4().hex}", schema)
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return ArrayDatabase.create(spark, f"file://{tempfile.mkdtemp(prefix='gridloom-')}/array", schema)
+    return f"file://{tempfile.mkdtemp(prefix='gridloom-')}/{name}"
+
+
+def database(spark: SparkSession, schema: ArraySchema) -> ArrayDatabase:
+    return ArrayDatabase.create(spark, folder(spark, "array"), schema)
 
 
 # -- arrays over the tables ------------------------------------------------------------------------------------
@@ -96,7 +101,17 @@ FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber O
 
 
 def positioned(rows: DataFrame, dims: list[str]) -> DataFrame:
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(*dims)).cast("long"))
+    """``rows``, whose keys are unique, with their place in key order. They are written in ranges of keys, with the place
+    in the range, and read again; a place is that one and the sizes of the ranges before. No task holds more than a range."""
+    spark, where = rows.sparkSession, folder(rows.sparkSession, "places")
+    ranges = rows.orderBy(*dims).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    ranges.withColumn("_place", F.expr("_place & ((1L << 33) - 1)")).write.option("compression", "zstd").parquet(where)
+    placed = spark.read.schema(ranges.schema).parquet(where)
+    sizes, before = sorted(tuple(r) for r in placed.groupBy("_range").agg(F.max("_place") + 1).collect()), [0]
+    for _, size in sizes:
+        before.append(before[-1] + size)
+    starts = spark.createDataFrame([(r, start) for (r, _), start in zip(sizes, before)], "_range int, _start long")
+    return placed.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + F.col("_place") + 1).alias("pos"))
 
 
 # -- scan and versions -----------------------------------------------------------------------------------------
@@ -114,10 +129,10 @@ def overwritten(spark, rows: DataFrame, schema: ArraySchema, seq: str) -> ArrayD
 
 @query(f"SELECT *, row_number() OVER (ORDER BY time_ms, user_id) AS pos FROM (SELECT time_ms, user_id, max(value_milli) AS value_milli FROM ({EVENTS_SQL}) GROUP BY ALL)")
 def scan_all(spark, sf_dir):
-    """The whole stored array in key order. ``pos`` is the place; on a cluster the scan's own order does without it."""
+    """The whole stored array; ``pos`` is a row's place in key order."""
     rows = events_array(spark, sf_dir).withColumn("seq", F.col("value_milli"))
     db = overwritten(spark, rows, ArraySchema([("time_ms", 86_400_000), ("user_id", 100)], ["value_milli"]), "seq")
-    return positioned(db.transaction().query(), ["time_ms", "user_id"])
+    return positioned(db.transaction().query(ordered=False), ["time_ms", "user_id"])
 
 
 @query(f"SELECT * FROM ({LINE_SQL}) ORDER BY l_orderkey, l_linenumber LIMIT 100")

@@ -63,7 +63,7 @@ class Transaction:
 
     def _own(self) -> DataFrame:
         """Unsaved rows, one for each key; values that can't be stored fail the query. Each batch gives its latest rows by
-        their order, a long, and these give theirs by batch, so both are hash aggregates."""
+        their order, and these give theirs by batch."""
         dims, vals, first = self.schema.dims, self.schema.vals, self.schema.dims[0]
         bad = reduce(lambda a, b: a | b, (F.col(n).isNull() | (F.col(n) < 0) for n in self.schema.names))
         error = F.raise_error(F.lit("fields are whole numbers from 0 to 2^63 - 1")).cast("long")
@@ -138,27 +138,39 @@ class Transaction:
 
     # -- reading -------------------------------------------------------------------------------------------
 
+    def _stored(self) -> list[tuple[int, str, int]]:
+        """The segments of the snapshot and this transaction's own."""
+        return self.db.visible(self.horizon) + [(self.txn, self.run, s) for s in self.segments]
+
     def versions(self) -> DataFrame:
         """All visible rows with their ``_version``: committed ones, own segments and unsaved ones."""
         self._check_open()
-        own = [(self.txn, self.run, s) for s in self.segments]
-        out = self.db.read(self.db.visible(self.horizon) + own)
+        own, out = self.segments, self.db.read(self._stored())
         if own:  # own rows are newer than any committed, whatever the horizon
             out = out.withColumn("_version", F.when(F.col("_version") >= self.txn * SEGMENTS, F.col("_version") % SEGMENTS + OWN_TXN * SEGMENTS).otherwise(F.col("_version")))
         if self.unsaved:
             out = out.unionByName(self._own().withColumn("_version", F.lit(OWN_TXN * SEGMENTS + len(self.segments)).cast("long")))
         return out
 
+    def _single(self) -> bool:
+        """Whether keys are unique as they are: a segment holds each once, and so do the unsaved rows."""
+        return len(self._stored()) + bool(self.unsaved) <= 1
+
     def query(self, ordered: bool = True, with_txn: bool = False) -> DataFrame:
         """One row, the latest, for each visible key, in key order; ``_txn`` is its transaction (4294967295: own)."""
-        rows = latest(self.versions(), self.schema.dims, self.schema.vals, "_version", "_version" if with_txn else None)
+        rows, dims = self.versions(), self.schema.dims
+        if not self._single():
+            rows = latest(rows, dims, self.schema.vals, "_version", "_version" if with_txn else None)
+        elif not with_txn:
+            rows = rows.drop("_version")
         if with_txn:
             rows = rows.withColumn("_txn", F.expr(f"_version div {SEGMENTS}")).drop("_version")
         return rows.orderBy(*self.schema.dims) if ordered else rows
 
     def count(self) -> int:
         """Visible keys; reads the dimensions only."""
-        return self.versions().select(*self.schema.dims).distinct().count()
+        keys = self.versions().select(*self.schema.dims, "_version")
+        return (keys if self._single() else latest(keys, self.schema.dims, [], "_version")).count()
 
     def slice(self, ranges: dict[str, tuple[int, int]], ordered: bool = True) -> DataFrame:
         """The rows whose dimensions lie in closed ranges; the filter reaches the scan's statistics."""

@@ -43,3 +43,16 @@ def test_parsed_fields_are_computed_once_a_row(spark):
     rows = good(parse(lines, "id"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 1
     assert sorted(r.value_milli for r in rows.collect()) == [0, 1000, 2000]
+
+
+@pytest.mark.parametrize("name", ["array_1d", "array_3d", "scan_all"])
+def test_no_task_numbers_the_whole_array(spark, repeated, name):
+    assert "Window" not in QUERIES[name](spark, str(repeated))._jdf.queryExecution().optimizedPlan().toString()
+    same_as_sql(spark, name, repeated)
+
+
+def test_places_of_no_rows(spark):
+    from gridloom.plans.catalogue import positioned
+
+    assert positioned(spark.range(0), ["id"]).collect() == []
+    assert sorted(positioned(spark.createDataFrame([(5,), (2,), (9,)], "id long"), ["id"]).collect()) == [(2, 1), (5, 2), (9, 3)]
