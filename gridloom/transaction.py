@@ -170,7 +170,9 @@ class Transaction:
     def count(self) -> int:
         """Visible keys; reads the dimensions only."""
         keys = self.versions().select(*self.schema.dims, "_version")
-        return (keys if self._single() else latest(keys, self.schema.dims, [], "_version")).count()
+        if self._single():
+            return keys.count()
+        return latest(keys, self.schema.dims, [], "_version", "_version").agg(F.count("_version")).first()[0]
 
     def slice(self, ranges: dict[str, tuple[int, int]], ordered: bool = True) -> DataFrame:
         """The rows whose dimensions lie in closed ranges; the filter reaches the scan's statistics."""

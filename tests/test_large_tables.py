@@ -56,3 +56,16 @@ def test_places_of_no_rows(spark):
 
     assert positioned(spark.range(0), ["id"]).collect() == []
     assert sorted(positioned(spark.createDataFrame([(5,), (2,), (9,)], "id long"), ["id"]).collect()) == [(2, 1), (5, 2), (9, 3)]
+
+
+def below_exchange(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_lineitem_versions_move_once_with_what_they_need(spark, repeated):
+    from gridloom.plans.catalogue import lineitem_latest
+
+    moved = below_exchange(lineitem_latest(spark, str(repeated)))
+    assert "Aggregate" not in moved and "l_shipdate" not in moved
+    same_as_sql(spark, "idempotent_reinsert", repeated)
