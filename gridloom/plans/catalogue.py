@@ -122,7 +122,8 @@ def positioned(rows: DataFrame, dims: list[str]) -> DataFrame:
 def overwritten(spark, rows: DataFrame, schema: ArraySchema, seq: str) -> ArrayDatabase:
     """A database that first gets all rows with other values, then the rows themselves."""
     db = database(spark, schema)
-    for now in (rows.withColumns({v: F.lit(7).cast("long") for v in schema.vals if v != seq}), rows):
+    other = lambda v: F.when(F.col(v) == 7, 8).otherwise(7).cast("long")
+    for now in (rows.withColumns({v: other(v) for v in schema.vals if v != seq}), rows):
         with db.transaction() as txn:
             txn.append(now, seq=seq)
             txn.commit()

@@ -69,3 +69,16 @@ def test_lineitem_versions_move_once_with_what_they_need(spark, repeated):
     moved = below_exchange(lineitem_latest(spark, str(repeated)))
     assert "Aggregate" not in moved and "l_shipdate" not in moved
     same_as_sql(spark, "idempotent_reinsert", repeated)
+
+
+def test_tasks_that_read_segments_hold_no_keys(spark, repeated):
+    assert "Aggregate" not in below_exchange(QUERIES["scan_head"](spark, str(repeated)))
+
+
+def test_count_brings_keys_together_first(spark, repeated, monkeypatch):
+    from gridloom import transaction
+
+    made, latest = [], transaction.latest
+    monkeypatch.setattr(transaction, "latest", lambda *a: made.append(latest(*a)) or made[-1])
+    same_as_sql(spark, "count_rows", repeated)
+    assert "_version" in made[-1].columns and "Aggregate" not in below_exchange(made[-1])
