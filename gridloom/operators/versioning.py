@@ -20,13 +20,14 @@ def check_segment(segment: int) -> None:
         raise DataError(f"a transaction has {SEGMENTS} segments at most")
 
 
-def latest(df: DataFrame, dims: list[str], values: list[str], version: str, keep_version: str | None = None) -> DataFrame:
+def latest(df: DataFrame, dims: list[str], values: list[str], version: str, keep_version: str | None = None, parts: int | None = None) -> DataFrame:
     """One row for each key: the values of its largest version.
 
     Rows are brought together by key and compared in key order: most keys are written once, so hash maps would
     hold about all rows, in the tasks that read files as well. Filters on dimensions pass through to the scan.
+    ``parts``: into how many parts they are brought; by default small ones are put together by their bytes.
     """
-    top = df.repartition(*map(F.col, dims)).groupBy(*dims).agg(F.max(F.struct(F.col(version).alias("_version"), *values)).alias("_top"))
+    top = df.repartition(*([parts] if parts else []), *map(F.col, dims)).groupBy(*dims).agg(F.max(F.struct(F.col(version).alias("_version"), *values)).alias("_top"))
     return top.select(*dims, *(F.col(f"_top.{v}").alias(v) for v in values), *([F.col("_top._version").alias(keep_version)] if keep_version else []))
 
 

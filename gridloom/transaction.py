@@ -172,7 +172,8 @@ class Transaction:
         keys = self.versions().select(*self.schema.dims, "_version")
         if self._single():
             return keys.count()
-        return latest(keys, self.schema.dims, [], "_version", "_version").agg(F.count("_version")).first()[0]
+        parts = int(self.db.spark.conf.get("spark.sql.shuffle.partitions"))  # keys alone are so small that parts put together by bytes hold too many
+        return latest(keys, self.schema.dims, [], "_version", "_version", parts).agg(F.count("_version")).first()[0]
 
     def slice(self, ranges: dict[str, tuple[int, int]], ordered: bool = True) -> DataFrame:
         """The rows whose dimensions lie in closed ranges; the filter reaches the scan's statistics."""
